@@ -71,3 +71,19 @@ def rolling(h: np.ndarray, n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray
     for i in range(n):
         out = out * b + h[i : i + m]
     return mix(out)
+
+
+def text_chunks(batches, columns: list[str], text: str = "t", limit: int = 2_000_000):
+    """Lists of the given columns and of text bytes, cut so that a chunk has about ``limit`` bytes (one text at least).
+
+    Null texts come as empty bytes.
+    """
+    for batch in batches:
+        column = batch.column(text).cast("binary").to_pylist()
+        rest = [batch.column(c).to_pylist() for c in columns]
+        start, held = 0, 0
+        for i, value in enumerate(column):
+            held += len(value or b"")
+            if held >= limit or i == len(column) - 1:
+                yield [r[start : i + 1] for r in rest], [v or b"" for v in column[start : i + 1]]
+                start, held = i + 1, 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewright.llm import chat, merkle
+from lanewright.llm import chat, decontaminate, merkle, packing, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +17,30 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_documents(_read(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(_read(spark, sf_dir, "documents"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render_chats(_read(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_fingerprint": op2_fingerprint, "op10_chat": op10_chat}
+    return {
+        "op2_fingerprint": op2_fingerprint,
+        "op3_decontaminate": op3_decontaminate,
+        "op4_packing": op4_packing,
+        "op5_secrets": op5_secrets,
+        "op10_chat": op10_chat,
+    }
 
 
 OP10_SQL = """
