@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Turns whose running hash one window computes; longer conversations are joined from such blocks.
-BLOCK_TURNS = 256
+#: Bits of the turns whose running hash one window computes; longer conversations are joined from such blocks.
+BLOCK_BITS = 8
 #: Turns rendered into one output row; only longer conversations have several segments.
 SEGMENT_TURNS = 1024
 
@@ -21,7 +21,7 @@ SEGMENT_TURNS = 1024
 def _turns(conv: DataFrame, conv_id: str, turn: str, role: str, text: str) -> DataFrame:
     """(c, pos, n, role, text, x1, x2): position in, length of and rolling hash within each conversation."""
     rows = conv.select(F.col(conv_id).alias("c"), F.col(turn).alias("t"), F.col(role).alias("role"), F.col(text).alias("text"))
-    rows = rows.withColumn("blk", F.coalesce(F.floor(F.col("t") / BLOCK_TURNS), F.lit(-(1 << 62))).cast("long"))
+    rows = rows.withColumn("blk", F.coalesce(F.shiftright(F.col("t").cast("long"), BLOCK_BITS), F.lit(-(1 << 62))))
     in_block = Window.partitionBy("c", "blk").orderBy("t", "role", "text")
     before = Window.partitionBy("c").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("at", F.row_number().over(in_block))

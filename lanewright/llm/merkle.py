@@ -18,8 +18,8 @@ from pyspark.sql.window import Window
 SECTION_END = r"(?<=\n[ \t]{0,8}\n)"
 PARAGRAPH_END = r"(?<=\n)"
 PHRASE_END = r"(?<=(?:[^\p{L}\p{N}\s]|[dlmsxzDLMSXZ])[ \t])"
-#: Document ids in one window of the walk in id order, and such windows in one of the next level.
-IDS_PER_BLOCK, BLOCKS_PER_GROUP = 64, 4096
+#: Bits of the document ids in one window of the walk in id order, and of such windows in one of the next level.
+BLOCK_BITS, GROUP_BITS = 6, 12
 TREE = "array<array<array<int>>>"
 
 
@@ -73,17 +73,17 @@ def locate_edits(a: Column, b: Column) -> Column:
 def with_next_document(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, t, next_t): each text and that of the next document by id; the first follows the last.
 
-    Rows are dealt by blocks of IDS_PER_BLOCK ids, so no window holds more than
+    Rows are dealt by blocks of 2 ** BLOCK_BITS ids, so no window holds more than
     a block; what follows a block comes from a table of block heads.  Null texts
     are empty, a null id sorts first, rows of equal id go by text.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.withColumn("blk", F.coalesce(F.floor(F.col("doc_id") / IDS_PER_BLOCK), F.lit(-(1 << 62))).cast("long"))
+    rows = rows.withColumn("blk", F.coalesce(F.shiftright(F.col("doc_id").cast("long"), BLOCK_BITS), F.lit(-(1 << 62))))
     by_id = Window.partitionBy("blk").orderBy("doc_id", "t")
     heads = rows.withColumn("at", F.row_number().over(by_id)).filter("at = 1").select(F.col("blk").alias("head_blk"), F.col("t").alias("head_t"))
-    blocks = rows.select("blk").distinct().withColumn("grp", F.floor(F.col("blk") / BLOCKS_PER_GROUP))
+    blocks = rows.select("blk").distinct().withColumn("grp", F.shiftright("blk", GROUP_BITS))
     groups = blocks.groupBy("grp").agg(F.min("blk").alias("first"))
-    #: One row for each BLOCKS_PER_GROUP * IDS_PER_BLOCK ids in use.
+    #: One row for each 2 ** (BLOCK_BITS + GROUP_BITS) ids in use.
     groups = groups.select(F.col("grp").alias("g"), F.coalesce(F.lead("first").over(Window.orderBy("grp")), F.min("first").over(Window.partitionBy())).alias("after"))
     ahead = F.lead("blk").over(Window.partitionBy("grp").orderBy("blk"))
     blocks = blocks.join(groups, F.col("grp") == F.col("g")).select(F.col("blk").alias("of_blk"), F.coalesce(ahead, "after").alias("head_blk"))
