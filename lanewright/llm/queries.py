@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanewright.llm import chat, decontaminate, language, merkle, neardup, packing, quality, repeats, secrets
+import corpus_pipeline
+from lanewright.llm import chat, decontaminate, html, language, merkle, neardup, packing, quality, repeats, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprint_documents(_read(spark, sf_dir, "documents"))
 
@@ -53,6 +58,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op1_main_text": op1_main_text,
         "op2_fingerprint": op2_fingerprint,
         "op3_decontaminate": op3_decontaminate,
         "op4_packing": op4_packing,
@@ -82,4 +89,5 @@ WHERE NOT EXISTS (SELECT 1 FROM u AS b WHERE b.n_turns > u.n_turns AND list_slic
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat": OP10_SQL}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {"op10_chat": OP10_SQL}

@@ -127,7 +127,21 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, doc_id: str
     return rows.select("doc_id", *(count(k).alias(f"n_{k}") for k in BASE_KINDS), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
 
 
-def without_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text holds a secret of any rule."""
-    dirty = scan_unseen(docs, None, doc_id, text).filter(F.size("spans") > 0).select(F.col("sha").alias("__blob"))
-    return docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).join(dirty, F.col("__sha") == F.col("__blob"), "left_anti").drop("__sha")
+def redact_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", marker: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every run of overlapping spans replaced by ``marker``; n_chars, if there, follows the text.
+
+    All rows and columns stay; null texts stay null.
+    """
+    dirty = scan_unseen(docs, None, doc_id, text).filter(F.size("spans") > 0).select(F.col("sha").alias("__blob"), F.col("spans").alias("__spans"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("__part"))
+    rows = docs.withColumn("__sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256)).withColumn("__grp", F.pmod(F.xxhash64(doc_id), F.lit(SPREAD)).cast("int"))
+    rows = rows.join(dirty, (F.col("__sha") == F.col("__blob")) & (F.col("__grp") == F.col("__part")), "left")
+    ordered = F.array_sort(F.transform("__spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+
+    def step(done, x):
+        more = F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, x["start"] - done["at"]), F.lit(marker))
+        return F.struct(F.greatest(done["at"], x["end"]).alias("at"), F.when(x["start"] >= done["at"], more).otherwise(done["out"]).alias("out"))
+
+    clean = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda done: F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, F.lit(1 << 30))))
+    out = rows.withColumn("__clean", F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col(text)))
+    columns = {text: F.col("__clean")} | ({"n_chars": F.when(F.col("__spans").isNotNull(), F.length("__clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
