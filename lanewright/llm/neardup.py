@@ -1,13 +1,13 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
 Documents of equal shingle sets are first folded into one class.  Each class is
-posted under the values of PREFIX of its COORDINATES MinHash coordinates; a pair
-that meets in a posting list has its equal coordinates counted and stays a
-candidate from MATCHES on.  Merging skips what can't matter: partners of too
-different a size, and (in the second round) partners that the first round has
-linked already.  The first round tests for each class only its best candidate;
-the second tests every remaining candidate between different components.  All
-links are confirmed on the full shingle sets, then components are taken.
+posted under the values of PREFIX of its COORDINATES MinHash coordinates; pairs
+that meet in a posting list have their equal coordinates counted and are
+candidates from MATCHES on.  Merging a list skips what can't matter: partners of
+too different a size, and those that the list has connected already, so a list
+of near copies costs about one pass.  Connected candidates form clouds; each
+class sends its full set once to its cloud, where links are confirmed exactly
+and only a spanning forest of them leaves.  Components are taken of those.
 
 A link at a similarity of 0.75 has 128 coordinates of which 96 are equal on
 average, with a standard deviation of 4.9: fewer than MATCHES are seen in about
@@ -32,10 +32,12 @@ COORDINATES, PREFIX, MATCHES = 128, 10, 76
 LIST = 4096
 #: Lists of up to this size are compared for all lists of a batch at once.
 SHORT = 24
+#: Rows of a list that are compared with the others at a time.
+FRONT = 256
+#: A larger cloud is cut into blocks that meet in pairs.
+CLOUD = 1500
 #: Bytes of a shingle hash in the sets that links are confirmed on.
 SET_BYTES = 5
-#: Set rows that one group of a popular partner takes.
-PARTNER_GROUPS = 16
 
 
 def _multipliers() -> np.ndarray:
@@ -80,85 +82,90 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, sizes, digests, keys, sigs), kinds)], names=names)
 
 
-def _sorted_lists(batches, columns):
-    """Column arrays cut only between keys; the column sig comes as a matrix.  Lists are of bounded length."""
+def _runs(batches, key: str):
+    """Tables cut only between values of the sorted column ``key``."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch])
         held = table if held is None else pa.concat_tables([held, table])
-        key = held.column("key").to_numpy()
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        values = held.column(key).to_numpy()
+        cut = int(np.searchsorted(values, values[-1])) if len(values) else 0
         if cut >= 2000:
-            yield _arrays(held.slice(0, cut), columns)
+            yield held.slice(0, cut)
             held = held.slice(cut).combine_chunks()
     if held is not None and held.num_rows:
-        yield _arrays(held, columns)
-
-
-def _arrays(table, columns):
-    out = {c: table.column(c).to_numpy() for c in ["key", *columns]}
-    return out | {"sig": np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)}
+        yield held
 
 
 def _close(a, b):
     return np.minimum(a, b) * DENOMINATOR >= np.maximum(a, b) * NUMERATOR
 
 
-def _candidates(lists):
-    """(i, j, equal coordinates) of the pairs in one list whose sizes agree and which have MATCHES equal coordinates."""
-    key, n, sig, comp = lists["key"], lists["n"], lists["sig"], lists.get("comp")
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(starts, len(key)))
-    size_of = np.repeat(sizes, sizes)
-    for d in range(1, SHORT):
-        i = np.flatnonzero((key[:-d] == key[d:]) & (size_of[:-d] <= SHORT)) if d < len(key) else np.zeros(0, np.int64)
-        if not len(i):
-            continue
-        ok = _close(n[i], n[i + d])
-        if comp is not None:
-            ok &= comp[i] != comp[i + d]
-        i = i[ok]
-        for part in np.array_split(i, max(1, len(i) // 20_000)):
-            equal = (sig[part] == sig[part + d]).sum(1, dtype=np.int16)
-            good = equal >= MATCHES
-            yield part[good], part[good] + d, equal[good]
-    for s, size in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
-        order = s + np.argsort(n[s : s + size], kind="stable")
-        nn, columns, cc = n[order], np.ascontiguousarray(sig[order].T), None if comp is None else comp[order]
-        for a in range(0, size, 256):
-            b = min(size, a + 256)
-            end = int(np.searchsorted(nn, nn[b - 1] * DENOMINATOR // NUMERATOR, side="right"))
-            equal = np.zeros((b - a, end - a), np.uint8)
-            for c in columns:
-                equal += c[a:b, None] == c[None, a:end]
-            good = (equal >= MATCHES) & _close(nn[a:b, None], nn[None, a:end])
-            if cc is not None:
-                good &= cc[a:b, None] != cc[None, a:end]
-            i, j = np.nonzero(np.triu(good, 1))
-            yield order[a + i], order[a + j], equal[i, j]
-
-
-def _best_partners(batches):
-    """For each class of each list its best candidate: the most equal coordinates, then the smallest id."""
-    for lists in _sorted_lists(batches, ["doc_id", "n"]):
-        ids, found = lists["doc_id"], list(_candidates(lists))
-        if not found:
-            continue
-        i, j, equal = (np.concatenate(x) for x in zip(*found))
-        x, y, e = ids[np.concatenate([i, j])], ids[np.concatenate([j, i])], np.concatenate([equal, equal]).astype(np.int32)
-        order = np.lexsort((y, -e, x))
-        x, y, e = x[order], y[order], e[order]
-        first = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(x[first]), pa.array(y[first]), pa.array(e[first])], names=["x", "y", "equal"])
-
-
-def _across(batches):
-    """Every candidate pair of different components."""
-    for lists in _sorted_lists(batches, ["doc_id", "n", "comp"]):
-        ids = lists["doc_id"]
-        for i, j, _ in _candidates(lists):
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], names=["x", "y"])
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least index reachable over the pairs (i, j)."""
+    label = np.arange(n)
+    while len(i):
+        low = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
+def _spread(size: int, rows_equal):
+    """Labels of connected rows: a front is compared with the unseen rows alone, until none is left."""
+    label, unseen = np.arange(size), np.arange(size)
+    while len(unseen):
+        start, unseen = unseen[0], unseen[1:]
+        todo = [np.array([start])]
+        while todo and len(unseen):
+            front = todo.pop()
+            if len(front) > FRONT:
+                todo.append(front[FRONT:])
+                front = front[:FRONT]
+            hit = rows_equal(front, unseen)
+            if hit.any():
+                found, unseen = unseen[hit], unseen[~hit]
+                label[found] = start
+                todo.append(found)
+    return label
+
+
+def _gather(batches):
+    """Candidates of each list as links to the least row that the list connects them with."""
+    for table in _runs(batches, "key"):
+        key, ids, n = (table.column(c).to_numpy() for c in ("key", "doc_id", "n"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        size_of = np.repeat(sizes, sizes)
+        left, right = [], []
+        for d in range(1, min(SHORT, len(key))):
+            i = np.flatnonzero((key[:-d] == key[d:]) & (size_of[:-d] <= SHORT) & _close(n[:-d], n[d:]))
+            for part in np.array_split(i, max(1, len(i) // 20_000)):
+                good = part[(sig[part] == sig[part + d]).sum(1, dtype=np.int16) >= MATCHES]
+                left.append(good)
+                right.append(good + d)
+        label = _labels(len(key), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(key))
+        for s, size in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
+            part, own = np.ascontiguousarray(sig[s : s + size].T), n[s : s + size]
+
+            def rows_equal(front, unseen, part=part, own=own):
+                out = np.zeros(len(unseen), bool)
+                for a in range(0, len(unseen), 4096):
+                    some = unseen[a : a + 4096]
+                    equal = np.zeros((len(front), len(some)), np.uint8)
+                    for c in part:
+                        equal += c[front, None] == c[None, some]
+                    out[a : a + 4096] = ((equal >= MATCHES) & _close(own[front, None], own[None, some])).any(0)
+                return out
+
+            label[s : s + size] = s + _spread(int(size), rows_equal)
+        moved = np.flatnonzero(label != np.arange(len(key)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
 
 
 def _long(postings: DataFrame) -> DataFrame | None:
@@ -166,7 +173,7 @@ def _long(postings: DataFrame) -> DataFrame | None:
     return None if long.isEmpty() else long
 
 
-def _postings(reps: DataFrame, pairs_of_blocks: bool) -> DataFrame:
+def _postings(reps: DataFrame) -> DataFrame:
     """Rows of ``reps`` under every list they are in, with no list over about twice LIST."""
     cols = [c for c in reps.columns if c != "keys"]
     first = reps.select("*", F.explode("keys").alias("key"))
@@ -180,30 +187,27 @@ def _postings(reps: DataFrame, pairs_of_blocks: bool) -> DataFrame:
     if (long := _long(again)) is None:
         return out.unionByName(again)
     out = out.unionByName(again.join(long, F.col("key") == F.col("long_key"), "left_anti"))
-    cut = again.join(long, F.col("key") == F.col("long_key")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    if pairs_of_blocks:
-        cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cut = cut.withColumn("key", F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with")))
-    else:
-        cut = cut.withColumn("key", F.xxhash64("key", "own", "own"))
-    return out.unionByName(cut.select(*cols, "key"))
+    return out.unionByName(_blocks(again.join(long, F.col("key") == F.col("long_key")), "key", F.col("blocks")).select(*cols, "key"))
 
 
-def _in_lists(postings: DataFrame, function, schema: str) -> DataFrame:
-    return postings.repartition("key").sortWithinPartitions("key").mapInArrow(function, schema)
+def _blocks(rows: DataFrame, key: str, blocks) -> DataFrame:
+    """Rows of a group too large for one task under the key of every pair of blocks that their own block is in."""
+    rows = rows.withColumn("__own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("__with", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    return rows.withColumn(key, F.xxhash64(key, F.least("__own", "__with"), F.greatest("__own", "__with"))).drop("__own", "__with")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the wanted ids."""
+def _sets(docs: DataFrame, clouds: DataFrame) -> DataFrame:
+    """(doc_id, cloud, shingles) of the documents in a cloud."""
 
     def cut(batches):
         memo = WordHashes()
-        for (ids,), texts in text_chunks(batches, ["doc_id"], limit=1_000_000):
+        for (ids, cloud), texts in text_chunks(batches, ["doc_id", "cloud"], limit=1_000_000):
             packed = [s.view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes() for s in shingle_sets(texts, memo)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cloud, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "cloud", "shingles"])
 
-    ids = wanted.select(F.col("id").alias("want")).hint("shuffle_hash")
-    return docs.join(ids, F.col("doc_id") == F.col("want"), "left_semi").mapInArrow(cut, "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+    members = clouds.select(F.col("node").alias("__node"), F.col("component").alias("cloud")).hint("shuffle_hash")
+    rows = docs.join(members, F.col("doc_id") == F.col("__node")).select("doc_id", "cloud", "t")
+    return rows.mapInArrow(cut, "doc_id long, cloud long, shingles binary").dropDuplicates(["doc_id"])
 
 
 def _unpack(raw: bytes) -> np.ndarray:
@@ -213,34 +217,66 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def _confirm(batches):
-    """Rows sorted by (y, grp, x), with y's own set first (x null): the pairs that are links."""
-    of, own = None, None
-    for batch in batches:
-        xs, ys, found = [], [], []
-        for x, y, grp, raw in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "grp", "shingles"))):
-            mine = _unpack(raw)
-            if x is None:
-                of, own = (y, grp), mine
-            elif of == (y, grp):
-                both = len(np.intersect1d(own, mine, assume_unique=True)) if SET_BYTES == 8 else len(np.intersect1d(own, mine))
-                if DENOMINATOR * both >= NUMERATOR * (len(own) + len(mine) - both):
-                    xs.append(x)
-                    ys.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["a", "b"])
-
-
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose full sets reach the similarity, as (a, b).
-
-    x's set is sent to y once for each pair; a popular y is there in PARTNER_GROUPS groups.
-    """
-    pairs = pairs.withColumn("grp", F.pmod(F.xxhash64("x"), F.lit(PARTNER_GROUPS)).cast("int"))
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    sets = staged(_sets(docs, ids), "sets")
-    theirs = pairs.join(sets, F.col("x") == F.col("doc_id")).select("x", "y", "grp", "shingles")
-    own = pairs.select("y", "grp").distinct().join(sets, F.col("y") == F.col("doc_id")).select(F.lit(None).cast("long").alias("x"), "y", "grp", "shingles")
-    rows = theirs.unionByName(own).repartition("y", "grp").sortWithinPartitions("y", "grp", F.col("x").asc_nulls_first())
-    return rows.mapInArrow(_confirm, "a long, b long")
+    """Links within each cell, as a forest: from every class to the least one that exact links connect it with."""
+    for table in _runs(batches, "cell"):
+        cell, ids = table.column("cell").to_numpy(), table.column("doc_id").to_numpy()
+        sets = [_unpack(x) for x in table.column("shingles").to_pylist()]
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        a, b = [], []
+        for s, e in zip(starts.tolist(), np.append(starts[1:], len(cell)).tolist()):
+            if e - s > 1:
+                label = _exact(sets[s:e])
+                moved = np.flatnonzero(label != np.arange(e - s))
+                a += ids[s + moved].tolist()
+                b += ids[s + label[moved]].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _exact(sets: list[np.ndarray]) -> np.ndarray:
+    """Labels of sets connected over links.  Only shingles of two sets or more count in intersections."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    names, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = np.bincount(column, minlength=len(names)) > 1
+    held = shared[column]
+    row, column = row[held], (np.cumsum(shared) - 1)[column[held]]
+    width = int(shared.sum())
+    dense = []
+    for lo in range(0, width if len(sets) * width <= 40_000_000 else 0, 8192):
+        hi = min(width, lo + 8192)
+        x = np.zeros((len(sets), hi - lo), np.float32)
+        pick = (column >= lo) & (column < hi)
+        x[row[pick], column[pick] - lo] = 1
+        dense.append(x)
+    cuts = np.searchsorted(row, np.arange(len(sets) + 1))
+
+    def linked(front, unseen):
+        both = np.zeros((len(front), len(unseen)), np.float64)
+        if dense:
+            for x in dense:
+                both += x[front] @ x[unseen].T
+        else:  # wide clouds: count by the front's shingles
+            mark = np.zeros(width, bool)
+            for k, i in enumerate(front):
+                mark[:] = False
+                mark[column[cuts[i] : cuts[i + 1]]] = True
+                sums = np.concatenate([[0], np.cumsum(mark[column])])
+                both[k] = sums[cuts[unseen + 1]] - sums[cuts[unseen]]
+        every = sizes[front, None] + sizes[None, unseen] - both
+        return (DENOMINATOR * both >= NUMERATOR * every).any(0)
+
+    return _spread(len(sets), linked)
+
+
+def confirmed(docs: DataFrame, clouds: DataFrame) -> DataFrame:
+    """Exact links (a, b) within ``clouds`` (node, component); every set goes once to its cloud, or to the pairs of its block in a large one."""
+    large = staged(clouds.groupBy("component").count().filter(F.col("count") > CLOUD).select(F.col("component").alias("large"), F.ceil(F.col("count") / (CLOUD / 2)).alias("blocks")), "large")
+    sets = _sets(docs, clouds).withColumn("cell", F.col("cloud"))
+    if not large.isEmpty():
+        sets = staged(sets, "sets")
+        small = sets.join(large, F.col("cloud") == F.col("large"), "left_anti")
+        sets = small.unionByName(_blocks(sets.join(large, F.col("cloud") == F.col("large")), "cell", F.col("blocks")).select(*sets.columns))
+    return sets.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -256,23 +292,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     signed = staged(rows.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, keys array<long>, sig binary"), "signed")
-    classes = signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = staged(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     members = staged(signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
     least = signed.filter("digest is not null").join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
     reps = least.select("doc_id", F.col("n_shingles").alias("n"), "keys", "sig").dropDuplicates(["doc_id"])
 
-    best = _in_lists(_postings(reps, False), _best_partners, "x long, y long, equal int")
-    best = staged(best.groupBy("x").agg(F.max(F.struct("equal", (-F.col("y")).alias("less"))).alias("m")).select("x", (-F.col("m.less")).alias("y")), "best")
-    once = best.groupBy(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.min(F.struct("x", "y")).alias("p")).select("p.x", "p.y")
-    links = staged(confirmed(rows, once), "links")
-    parts = staged(components(links), "parts")
-
-    rest = reps.join(best.select(F.col("x").alias("has")), F.col("doc_id") == F.col("has"), "left_semi")
-    rest = rest.join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "keys", "sig", F.coalesce("component", "doc_id").alias("comp"))
-    across = staged(_in_lists(_postings(rest, True), _across, "x long, y long").distinct(), "across")
-    if not across.isEmpty():
-        more = confirmed(rows, across)
-        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    lists = _postings(reps).repartition("key").sortWithinPartitions("key", "doc_id")
+    clouds = staged(components(lists.mapInArrow(_gather, "a long, b long")), "clouds")
+    parts = components(confirmed(rows, clouds))
     out = members.join(parts, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
