@@ -14,6 +14,9 @@ the contexts of a common phrase.
 
 from __future__ import annotations
 
+import struct
+from array import array
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,8 @@ DOCS_PER_BUCKET, BUCKETS = 1000, 256
 COMMON_BLOCKS = 2000
 #: Passages that one automaton is compiled from, or all of an anchor.
 SHARD_PASSAGES = 20_000
-_AT = np.dtype([("row", "<u4"), ("doc", "u1"), ("start", "<u4")])
-_CUT = np.dtype([("row", "<u4"), ("lo", "<u4"), ("hi", "<u4")])
+#: A place of a passage: row in its block, id in its block, first word.
+_AT = "<IBI"
 _memo = WordHashes()
 
 
@@ -112,31 +115,38 @@ def _recurring(table: pa.Table) -> pa.Table:
 
 def _passages(window: int):
     def passages(table: pa.Table, replies: pa.Table) -> pa.Table:
-        out: dict[tuple[int, bytes], list] = {}
+        out: dict[tuple[int, bytes], bytearray] = {}
+        firsts, blk = [], 0
         if table.num_rows and replies.num_rows:
             blk = table.column("blk")[0].as_py()
             ids, texts = _block(table)
-            words, row, at, place, anchor, hashes = _anchors(texts, window)
+            words, row, at, place_of, anchor, hashes = _anchors(texts, window)
             known = {c: np.sort(np.frombuffer(b"".join(n for n, k in zip(replies.column("names").to_pylist(), replies.column("common").to_pylist()) if k == c), np.uint64)) for c in (False, True)}
             within = lambda names: names[np.minimum(np.searchsorted(names, anchor), len(names) - 1)] == anchor if len(names) else np.zeros(len(anchor), bool)
             docs = [i - blk * IDS_PER_BLOCK for i in ids]
+
+            def add(key, k, start):
+                held = out.get(key)
+                if held is None:  # texts go by id, so the first place has the least
+                    held = out[key] = bytearray()
+                    firsts.append(blk * IDS_PER_BLOCK + docs[k])
+                held += struct.pack(_AT, k, docs[k], start)
+
             runs = np.flatnonzero(within(known[False]))
             if len(runs):
                 new = np.concatenate([[True], (np.diff(runs) != 1) | (row[runs[1:]] != row[runs[:-1]]) | (anchor[runs[1:]] != anchor[runs[:-1]])])
                 first, last = runs[new], runs[np.append(np.flatnonzero(new)[1:] - 1, len(runs) - 1)]
-                for a, b, name in zip(first.tolist(), last.tolist(), anchor[first].view(np.int64).tolist()):
-                    out.setdefault((name, b" ".join(words[at[a] : at[b] + window])), []).append((row[a], docs[row[a]], place[a]))
+                here, of, place = at[first].tolist(), row[first].tolist(), place_of[first].tolist()
+                spans = (at[last] + window).tolist()
+                for lo, hi, k, start, name in zip(here, spans, of, place, anchor[first].view(np.int64).tolist()):
+                    add((name, b" ".join(words[lo:hi])), k, start)
             single = np.flatnonzero(within(known[True]))
             if len(single):
-                for a, name in zip(single.tolist(), hashes()[single].view(np.int64).tolist()):
-                    out.setdefault((name, b" ".join(words[at[a] : at[a] + window])), []).append((row[a], docs[row[a]], place[a]))
-            base = blk * IDS_PER_BLOCK
-            firsts = [base + min(x[1] for x in v) for v in out.values()]
-        else:
-            blk, firsts = 0, []
+                for lo, k, start, name in zip(at[single].tolist(), row[single].tolist(), place_of[single].tolist(), hashes()[single].view(np.int64).tolist()):
+                    add((name, b" ".join(words[lo : lo + window])), k, start)
         return pa.table({
             "name": pa.array([k[0] for k in out], pa.int64()), "first": pa.array(firsts, pa.int64()), "blk": pa.array([blk] * len(out), pa.int64()),
-            "passage": pa.array([k[1] for k in out], pa.binary()), "places": pa.array([np.array(v, _AT).tobytes() for v in out.values()], pa.binary()),
+            "passage": pa.array([k[1] for k in out], pa.binary()), "places": pa.array([bytes(v) for v in out.values()], pa.binary()),
         })
 
     return passages
@@ -145,62 +155,83 @@ def _passages(window: int):
 def _locate(window: int):
     """Rows sorted by (name, first): the word ranges to cut, by block."""
 
+    def letters_of(passage: bytes, codes: dict[bytes, str]) -> str:
+        """One character for each distinct word of the shard."""
+        out = []
+        for w in passage.split(b" "):
+            c = codes.get(w)
+            if c is None:
+                n = len(codes) + 1
+                c = codes[w] = chr(n if n < 0xD800 else n + 0x800)
+            out.append(c)
+        return "".join(out)
+
+    def ranges(hits, own):
+        """Joined ranges of words in windows that start in a document before ``own``."""
+        out = []
+        for i, of in hits:
+            if own > of:
+                if out and i <= out[-1][1]:
+                    out[-1][1] = i + window
+                else:
+                    out.append([i, i + window])
+        return out
+
     def shard(rows, first: dict[str, int], codes: dict[bytes, str]):
-        coded, recurring = {}, {}
-        for _, low, blk, passage, places in rows:
-            s = coded.get(passage)
-            if s is None:
-                letters = []
-                for w in passage.split(b" "):
-                    c = codes.get(w)
-                    if c is None:
-                        n = len(codes) + 1
-                        c = codes[w] = chr(n if n < 0xD800 else n + 0x800)
-                    letters.append(c)
-                s = coded[passage] = "".join(letters)
-            high = blk * IDS_PER_BLOCK + int(places["doc"].max())
+        """Equal passages are confirmed and streamed once, in the order of their least documents."""
+        passages: dict[bytes, list] = {}
+        for low, blk, passage, raw in rows:
+            places = list(struct.iter_unpack(_AT, raw))
+            high = blk * IDS_PER_BLOCK + places[-1][1]  # a block's places go by id
+            held = passages.get(passage)
+            if held is None:
+                passages[passage] = [low, high, [(blk, places)]]
+            else:
+                held[1] = max(held[1], high)
+                held[2].append((blk, places))
+        recurring, coded = {}, []
+        for passage, (low, high, places) in passages.items():
+            s = letters_of(passage, codes)
+            coded.append((s, places))
             for i in range(len(s) - window + 1):
                 w = s[i : i + window]
                 if high > first.setdefault(w, low):
                     recurring[w] = first[w]
+        cuts: dict[int, array] = {}
         if not recurring:
-            return {}
+            return cuts
         automaton = ahocorasick.Automaton()
         for w, doc in recurring.items():
             automaton.add_word(w, doc)
         automaton.make_automaton()
-        cuts: dict[int, list] = {}
-        for _, _, blk, passage, places in rows:
-            hits = [(end - window + 1, doc) for end, doc in automaton.iter(coded[passage])]
+        for s, places in coded:
+            hits = [(end - window + 1, doc) for end, doc in automaton.iter(s)]
             if not hits:
                 continue
-            for row, doc, start in places.tolist():
-                own, lo, hi = blk * IDS_PER_BLOCK + doc, None, None
-                for i, of in hits:
-                    if own > of:
-                        if lo is not None and i <= hi:
-                            hi = i + window
-                            continue
-                        if lo is not None:
-                            cuts.setdefault(blk, []).append((row, start + lo, start + hi))
-                        lo, hi = i, i + window
-                if lo is not None:
-                    cuts.setdefault(blk, []).append((row, start + lo, start + hi))
+            least, most = min(h[1] for h in hits), max(h[1] for h in hits)
+            every = ranges(hits, most + 1)
+            for blk, at in places:
+                for row, doc, start in at:
+                    own = blk * IDS_PER_BLOCK + doc
+                    if own > least:
+                        for lo, hi in every if own > most else ranges(hits, own):
+                            cuts.setdefault(blk, array("I")).extend((row, start + lo, start + hi))
         return cuts
 
     def batch_of(cuts):
-        return pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int64()), pa.array([np.array(v, _CUT).tobytes() for v in cuts.values()], pa.binary())], names=["blk", "cuts"])
+        return pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int64()), pa.array([v.tobytes() for v in cuts.values()], pa.binary())], names=["blk", "cuts"])
 
     def locate(batches):
-        rows, first, codes = [], {}, {}
+        rows, first, codes, last = [], {}, {}, None
         for batch in batches:
             for name, low, blk, passage, raw in zip(*(batch.column(c).to_pylist() for c in ("name", "first", "blk", "passage", "places"))):
-                if len(rows) >= SHARD_PASSAGES and (name != rows[-1][0] or len(rows) >= 4 * SHARD_PASSAGES):
+                if len(rows) >= SHARD_PASSAGES and (name != last or len(rows) >= 4 * SHARD_PASSAGES):
                     yield batch_of(shard(rows, first, codes))
-                    if name != rows[-1][0] or len(codes) > 1_000_000:  # windows of one name may go on in the next shard
+                    if name != last:  # windows of one name may go on in the next shard
                         first, codes = {}, {}
                     rows = []
-                rows.append((name, low, blk, passage, np.frombuffer(raw, _AT)))
+                rows.append((low, blk, passage, raw))
+                last = name
         if rows:
             yield batch_of(shard(rows, first, codes))
 
@@ -209,9 +240,9 @@ def _locate(window: int):
 
 def _cut(table: pa.Table, cuts: pa.Table) -> pa.Table:
     ids, texts = _block(table) if table.num_rows else ([], [])
-    ranges = np.frombuffer(b"".join(cuts.column("cuts").to_pylist()), _CUT)
-    ranges = ranges[np.argsort(ranges["row"], kind="stable")]
-    ends = np.searchsorted(ranges["row"], np.arange(len(ids) + 1))
+    ranges = np.frombuffer(b"".join(cuts.column("cuts").to_pylist()), np.uint32).reshape(-1, 3)
+    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
+    ends = np.searchsorted(ranges[:, 0], np.arange(len(ids) + 1))
     totals, removed, kept = [], [], []
     for k, text in enumerate(texts):
         words = text.split()
