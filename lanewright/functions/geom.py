@@ -12,9 +12,10 @@ EARTH_RADIUS = 6_371_000.0
 _A, _F, _K0, _E0, _LON0 = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 3.0
 _N = _F / (2 - _F)
 _RECT = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
-_ALPHA = (_N / 2 - 2 / 3 * _N**2 + 5 / 16 * _N**3, 13 / 48 * _N**2 - 3 / 5 * _N**3, 61 / 240 * _N**3)
-_BETA = (_N / 2 - 2 / 3 * _N**2 + 37 / 96 * _N**3, 1 / 48 * _N**2 + 1 / 15 * _N**3, 17 / 480 * _N**3)
-_DELTA = (2 * _N - 2 / 3 * _N**2 - 2 * _N**3, 7 / 3 * _N**2 - 8 / 5 * _N**3, 56 / 15 * _N**3)
+# Coefficients of the series to the fourth order.
+_ALPHA = (_N / 2 - 2 / 3 * _N**2 + 5 / 16 * _N**3 + 41 / 180 * _N**4, 13 / 48 * _N**2 - 3 / 5 * _N**3 + 557 / 1440 * _N**4, 61 / 240 * _N**3 - 103 / 140 * _N**4, 49561 / 161280 * _N**4)
+_BETA = (_N / 2 - 2 / 3 * _N**2 + 37 / 96 * _N**3 - 1 / 360 * _N**4, 1 / 48 * _N**2 + 1 / 15 * _N**3 - 437 / 1440 * _N**4, 17 / 480 * _N**3 - 37 / 840 * _N**4, 4397 / 161280 * _N**4)
+_DELTA = (2 * _N - 2 / 3 * _N**2 - 2 * _N**3 + 116 / 45 * _N**4, 7 / 3 * _N**2 - 8 / 5 * _N**3 - 227 / 45 * _N**4, 56 / 15 * _N**3 - 136 / 35 * _N**4, 4279 / 630 * _N**4)
 
 
 def point(x: Column, y: Column) -> Column:
@@ -22,7 +23,7 @@ def point(x: Column, y: Column) -> Column:
 
 
 def utm31(lon: Column, lat: Column) -> Column:
-    """Degrees to zone 31 north, by Krüger's series to the third order."""
+    """Degrees to zone 31 north, by Krüger's series to the fourth order."""
     e = 2 * math.sqrt(_N) / (1 + _N)
     phi, lam = F.radians(lat), F.radians(lon - _LON0)
     s = F.sin(phi)
