@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import rolling, text_chunks
+from lanewright.llm.common import mix, rolling, text_chunks
 
 #: The bound of the sample of labelled documents that the scorers are fitted on.
 SAMPLE = 8000
 SHAPES, TERMS, MOST_TERMS = 1 << 10, 1 << 20, 4096
 #: Least documents and least z-score of a term that the toxicity scorer weighs.
 LEAST_DOCS, LEAST_Z = 3, 6.0
+#: Documents that a term may be in at most to tell copies by.
+RARE = 40
 # Insults that one labeller looks for, in the languages of general web text.
 INSULTS = frozenset("""idiot idiots moron morons stupid scum trash garbage worthless pathetic loser losers clown disgusting dumb imbecile retard bastard
 vermin filth idiota idiotas basura imbécil estúpido estúpida asqueroso inútil payaso asco crétin débile connard ordure abruti pathétique
@@ -153,6 +155,19 @@ class Scorer:
     accuracies: dict[str, tuple[float, float]]
 
 
+def _one_of_copies(doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+    """Which documents stay when those that share the least of their rare terms, under either of two orders, count once."""
+    often = np.bincount(term, minlength=TERMS)
+    rare = (often[term] > 1) & (often[term] <= RARE)
+    stay = np.ones(n, bool)
+    for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(least, doc[rare], mix(term[rare].astype(np.uint64) * np.uint64(seed)))
+        known = least < np.iinfo(np.uint64).max
+        stay &= ~(pd.Series(least).duplicated().to_numpy() & known)
+    return stay
+
+
 def fit(sample) -> Scorer:
     """``sample``: a pandas frame of the columns that ``_sampled`` gives."""
     n = len(sample)
@@ -171,11 +186,14 @@ def fit(sample) -> Scorer:
 
     doc = np.repeat(np.arange(n), sample["terms"].map(len))
     term, number = np.concatenate(sample["terms"].tolist()).astype(np.int64), np.concatenate(sample["numbers"].tolist())
+    # Copies of one document say nothing new about a term: of those that share a least rare term one stays.
+    alone = _one_of_copies(doc, term, n)
+    doc, term, number = (v[alone[doc]] for v in (doc, term, number))
     insult, told = sample["insult"].to_numpy(), human("toxic", 1)
     seed = np.where(told >= 0, told, insult).astype(bool)
     bad = np.bincount(term, weights=seed[doc], minlength=TERMS)
     every = np.bincount(term, minlength=TERMS)
-    rate = max(seed.mean(), 1e-6)
+    rate = max(seed[alone].mean(), 1e-6)
     z = (bad - every * rate) / np.sqrt(np.maximum(every * rate * (1 - rate), 1e-9))
     chosen = np.flatnonzero((bad >= LEAST_DOCS) & (z >= LEAST_Z) & (bad > 0.7 * every))
     chosen = chosen[np.argsort(-z[chosen], kind="stable")][:MOST_TERMS]
@@ -185,9 +203,9 @@ def fit(sample) -> Scorer:
     x = np.zeros((n, len(chosen)), np.float32)
     np.add.at(x, (doc[held], place[term[held]]), number[held])
     family = (x.sum(1) >= 2).astype(int)
-    toxic, sens, spec = estimate_accuracies(np.column_stack([insult, family, told]))
+    toxic, sens, spec = estimate_accuracies(np.column_stack([insult, np.where(alone, family, -1), told]))
     accuracies |= {f"toxic:{k}": (float(a), float(b)) for k, a, b in zip(TOXIC_VOTERS, sens, spec)}
-    weights, bias = _fit_linear(np.minimum(x, 3), toxic, rounds=1500, rate=0.05)
+    weights, bias = _fit_linear(np.minimum(x[alone], 3), toxic[alone], rounds=1500, rate=0.05)
     return Scorer(shapes, shape_bias, {int(t): float(w) for t, w in zip(chosen, weights) if w > 0}, bias, accuracies)
 
 
