@@ -13,7 +13,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,46 +27,55 @@ SCRIPTS = [(0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "arme
            (0xA00, "other"), (0xE00, "thai"), (0xE80, "other"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "other"), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"),
            (0x3040, "kana"), (0x3100, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x30000, "other")]
 _STARTS = np.array([a for a, _ in SCRIPTS])
-_LETTERS = re.compile(r"[^\W\d_]+")
-
-
-def script_of(letter: str) -> str:
-    return SCRIPTS[max(0, int(np.searchsorted(_STARTS, ord(letter), side="right")) - 1)][1]
-
-
-def grams(word: str) -> list[int]:
-    padded = f"^{word}$"
-    return [xxhash.xxh32_intdigest(padded[i : i + 3]) % GRAMS for i in range(len(padded) - 2)]
-
-
-def letters(raw: bytes) -> str:
-    return "".join(_LETTERS.findall(raw.decode(errors="replace"))).lower()
+_NAMES = sorted({name for _, name in SCRIPTS})
+_SCRIPT = np.array([_NAMES.index(name) for _, name in SCRIPTS])
+_NOT_LETTERS = re.compile(r"(?:[^\w\n]|[\d_])+")
+_SEEDS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
+
+
+def read_words(words: list[bytes]):
+    """(letters of each word, its script or -1, words of the grams, grams): grams are hashed trigrams of the letters with both ends marked."""
+    text = _NOT_LETTERS.sub("", "\n" + b"\n".join(words).decode(errors="replace").lower() + "\n")
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    end = code == 10
+    of = np.cumsum(end) - 1
+    sizes = np.diff(np.flatnonzero(end)) - 1
+    first = code[np.minimum(np.flatnonzero(end)[:-1] + 1, len(code) - 1)]
+    script = np.where(sizes > 0, _SCRIPT[np.maximum(0, np.searchsorted(_STARTS, first, side="right") - 1)], -1)
+    middle = np.flatnonzero(~end[1:-1]) + 1
+    h = code[middle - 1] * _SEEDS[0] + code[middle] * _SEEDS[1] + code[middle + 1] * _SEEDS[2]
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x2C1B3C6D)
+    h ^= h >> np.uint32(13)
+    return sizes, script, of[middle], (h % np.uint32(GRAMS)).astype(np.int64)
+
+
+def distinct(split: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of all texts and the place of every word among them."""
+    ids: dict[bytes, int] = {}
+    put = ids.setdefault
+    places = np.fromiter((put(w, len(ids)) for s in split for w in s), np.int64, sum(map(len, split)))
+    return list(ids), places
 
 
 def _counted(batches):
     """Gram counts and script counts of each language in this partition."""
     counts: dict[str, np.ndarray] = {}
-    scripts: dict[str, dict[str, int]] = {}
-    memo: dict[bytes, tuple] = {}
+    scripts: dict[str, np.ndarray] = {}
     for (langs,), texts in text_chunks(batches, ["lang"]):
-        for lang, text in zip(langs, texts):
-            into, seen = counts.setdefault(lang, np.zeros(GRAMS, np.int64)), scripts.setdefault(lang, {})
-            held = []
-            for raw in text.split():
-                got = memo.get(raw)
-                if got is None:
-                    if len(memo) > 200_000:
-                        memo.clear()
-                    word = letters(raw)
-                    got = memo[raw] = (grams(word) if word else [], script_of(word[0]) if word else None, len(word))
-                held += got[0]
-                if got[1]:
-                    seen[got[1]] = seen.get(got[1], 0) + got[2]
-            if held:
-                into += np.bincount(held, minlength=GRAMS)
+        split = [t.split() for t in texts]
+        words, places = distinct(split)
+        if not words:
+            continue
+        sizes, script, of, grams = read_words(words)
+        at = np.repeat(np.array(langs, object), [len(s) for s in split])
+        for lang in set(langs):
+            often = np.bincount(places[at == lang], minlength=len(words))
+            counts[lang] = counts.get(lang, 0) + np.bincount(grams, weights=often[of], minlength=GRAMS)
+            scripts[lang] = scripts.get(lang, 0) + np.bincount(np.maximum(script, 0), weights=often * sizes, minlength=len(_NAMES))
     for lang, v in counts.items():
-        pairs = sorted(scripts[lang].items())
-        arrays = [pa.array([lang]), pa.array([v.tobytes()], pa.binary()), pa.array([[k for k, _ in pairs]], pa.list_(pa.string())), pa.array([[n for _, n in pairs]], pa.list_(pa.int64()))]
+        pairs = [(k, int(n)) for k, n in zip(_NAMES, scripts[lang]) if n]
+        arrays = [pa.array([lang]), pa.array([v.astype(np.int64).tobytes()], pa.binary()), pa.array([[k for k, _ in pairs]], pa.list_(pa.string())), pa.array([[n for _, n in pairs]], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(arrays, names=["lang", "counts", "scripts", "letters"])
 
 
@@ -110,48 +118,23 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE) -> Model:
     return Model([r["lang"] for r in rows], np.array(logs), scripts)
 
 
-class Scores:
-    """Score rows of words, kept for a bounded number of words; row 0 stands for words without letters."""
-
-    def __init__(self, model: Model, limit: int = 200_000):
-        self.model, self.limit = model, limit
-        self.reset()
-
-    def reset(self):
-        self.index, self.sizes, self.rows = {}, [0], [np.zeros(len(self.model.langs), np.float32)]
-        self.table = None
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.index) > self.limit:
-            self.reset()
-        get, before = self.index.get, len(self.rows)
-        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        for i in np.flatnonzero(out < 0).tolist():
-            k = get(words[i])
-            out[i] = self._add(words[i]) if k is None else k
-        if self.table is None or len(self.rows) != before:
-            self.table = np.array(self.rows, np.float32)
-            self.letters = np.array(self.sizes, np.int64)
-        return out
-
-    def _add(self, raw: bytes) -> int:
-        word = letters(raw)
-        if not word:
-            self.index[raw] = 0
-            return 0
-        s = self.model.logs[:, grams(word)].sum(1)
-        s = s - s.max()
-        s = np.maximum(s - np.log(np.exp(s).sum()), OUTSIDE)
-        script = script_of(word[0])
-        fits = [script in x for x in self.model.scripts]
-        if not any(fits):
-            s[:] = 0.0
-        else:
-            s[~np.array(fits)] = OUTSIDE
-        self.index[raw] = len(self.rows)
-        self.rows.append(s.astype(np.float32))
-        self.sizes.append(len(word))
-        return len(self.rows) - 1
+def word_scores(model: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(scores of each word under each language, its letters); words without letters score 0 for all."""
+    n, langs = len(words), len(model.langs)
+    if not n or not langs:
+        return np.zeros((n, max(1, langs)), np.float32), read_words(words)[0] if n else np.zeros(0, np.int64)
+    sizes, script, of, grams = read_words(words)
+    s = np.zeros((n, langs), np.float32)
+    filled = np.flatnonzero(sizes > 0)
+    if len(grams):
+        s[filled] = np.add.reduceat(model.logs.T.astype(np.float32)[grams], np.searchsorted(of, filled), axis=0)
+    s -= s.max(1, keepdims=True)
+    s = np.maximum(s - np.log(np.exp(s).sum(1, keepdims=True)), OUTSIDE)
+    fits = np.array([[name in held for held in model.scripts] for name in _NAMES])
+    allowed = fits[np.maximum(script, 0)]
+    s = np.where(allowed, s, OUTSIDE)
+    s[~allowed.any(1) | (sizes == 0)] = 0.0
+    return s.astype(np.float32), sizes
 
 
 def viterbi(table: np.ndarray, words: np.ndarray, starts: np.ndarray, counts: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -197,16 +180,16 @@ def label_spans(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
     langs = model.langs
 
     def label(batches):
-        scores = Scores(model)
         span = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for (ids,), texts in text_chunks(batches, ["doc_id"], limit=6_000_000):
             split = [t.split() for t in texts]
             counts = np.array([len(s) for s in split], np.int64)
-            words = scores.of([w for s in split for w in s])
+            names, words = distinct(split)
             del split
+            table, sizes = word_scores(model, names)
             starts = np.cumsum(counts) - counts
-            labels = viterbi(scores.table, words, starts, counts, penalty) if langs and len(words) else np.zeros(len(words), np.int8)
-            weight = scores.letters[words] if len(words) else np.zeros(0, np.int64)
+            labels = viterbi(table, words, starts, counts, penalty) if langs and len(words) else np.zeros(len(words), np.int8)
+            weight = sizes[words]
             of = np.repeat(np.arange(len(counts)), counts)
             sums = np.bincount(of * max(1, len(langs)) + labels, weights=weight, minlength=len(counts) * max(1, len(langs))).reshape(len(counts), -1)
             total, best = sums.sum(1), sums.argmax(1)
