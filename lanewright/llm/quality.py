@@ -30,9 +30,9 @@ from lanewright.llm.common import mix, rolling, text_chunks
 SAMPLE = 8000
 SHAPES, TERMS, MOST_TERMS = 1 << 10, 1 << 20, 4096
 #: Least documents and least z-score of a term that the toxicity scorer weighs.
-LEAST_DOCS, LEAST_Z = 3, 6.0
-#: Documents that a term may be in at most to tell copies by.
-RARE = 40
+LEAST_DOCS, LEAST_Z = 3, 4.5
+#: Copies are told by terms in one of this many documents or fewer.
+RARE = 200
 # Insults that one labeller looks for, in the languages of general web text.
 INSULTS = frozenset("""idiot idiots moron morons stupid scum trash garbage worthless pathetic loser losers clown disgusting dumb imbecile retard bastard
 vermin filth idiota idiotas basura imbécil estúpido estúpida asqueroso inútil payaso asco crétin débile connard ordure abruti pathétique
@@ -158,7 +158,7 @@ class Scorer:
 def _one_of_copies(doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
     """Which documents stay when those that share the least of their rare terms, under either of two orders, count once."""
     often = np.bincount(term, minlength=TERMS)
-    rare = (often[term] > 1) & (often[term] <= RARE)
+    rare = (often[term] > 1) & (often[term] <= max(3, n // RARE))
     stay = np.ones(n, bool)
     for seed in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
         least = np.full(n, np.iinfo(np.uint64).max, np.uint64)

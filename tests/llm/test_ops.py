@@ -343,8 +343,9 @@ def test_exact_labels_of_wide_clouds(monkeypatch):
 
 
 def test_quality_separates_the_labels(spark, sf):
-    labels = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/labels.parquet")
-    d = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    # some 4,000 labels: with a tenth of them each non-English family of toxic words is in 3 or 4 documents, too few to be told
+    labels = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/labels.parquet")
+    d = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet")
     rows = quality.classify(d, labels).join(labels, "doc_id").collect()
     clean, bad = [r for r in rows if r.quality == 1 and r.toxic == 0], [r for r in rows if r.quality == 0 or r.toxic == 1]
     assert sum(r.kept for r in clean) >= 0.99 * len(clean) and sum(not r.kept for r in bad) >= 0.9 * len(bad)
