@@ -51,7 +51,7 @@ def offset(spark, d):
 
 
 def turn_angles(spark, d):
-    return polyline.turn_angles(fx.lines(spark, d)).select("line_id", "pos", _R6("angle").alias("angle"))
+    return polyline.turn_angles(fx.lines(spark, d)).select("line_id", F.col("pos").cast("long").alias("pos"), _R6("angle").alias("angle"))
 
 
 def line_fit(spark, d):
@@ -102,7 +102,7 @@ def line_intersections(spark, d):
     e = fx.lines(spark, d).groupBy("line_id").agg(F.min_by(F.struct("x", "y"), "pos").alias("a"), F.max_by(F.struct("x", "y"), "pos").alias("b"))
     j = p.filter("pos > 0").join(e, "line_id")
     i = geom.line_intersection(F.struct(F.col("px").alias("x"), F.col("py").alias("y")), F.struct("x", "y"), F.col("a"), F.col("b"))
-    return j.select("line_id", "pos", i.alias("i")).filter("i.within").select("line_id", "pos", _R6("i.x").alias("x"), _R6("i.y").alias("y"))
+    return j.select("line_id", "pos", i.alias("i")).filter("i.within").select("line_id", F.col("pos").cast("long").alias("pos"), _R6("i.x").alias("x"), _R6("i.y").alias("y"))
 
 
 def side_of_chord(spark, d):
