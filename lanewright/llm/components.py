@@ -16,9 +16,9 @@ def _least(pairs: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable, for every node in ``links``; self-links and repeats are fine, null ends are left out."""
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull()).distinct()
+    edges = staged(links.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    edges = staged(edges.filter("u <> v"), "edges")
+    edges = edges.filter("u <> v")
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))
