@@ -82,7 +82,7 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, doc_id: str =
 
     Each blob is read at the smallest of its ids; equal texts are scanned once.
     """
-    spark, paths = docs.sparkSession, _paths(docs, doc_id, text)
+    paths = _paths(docs, doc_id, text)
     blobs = paths.groupBy("sha").agg(F.min("doc_id").alias("at"))
     every = F.array(*map(F.lit, rule_names()))
     if ledger is None:
@@ -94,7 +94,7 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, doc_id: str =
         blobs = blobs.withColumn("todo", F.array_except(every, F.coalesce("done", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
     blobs = blobs.select(F.col("sha").alias("blob"), "at", "todo").hint("shuffle_hash")
     texts = paths.join(blobs, F.col("doc_id").eqNullSafe(F.col("at")) & (F.col("sha") == F.col("blob"))).select("sha", "todo", "t")
-    return spark.createDataFrame([], LEDGER).unionByName(texts.mapInArrow(_scan, LEDGER)).dropDuplicates(["sha"])
+    return texts.mapInArrow(_scan, LEDGER).dropDuplicates(["sha"])
 
 
 def join_findings(docs: DataFrame, ledger: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
