@@ -436,3 +436,27 @@ def test_chat_hard_rows(spark):
     text = {r.conv_id: r.text for r in chat.render_chats(df.filter("conv_id in (2, 4)")).collect()}
     assert text == {2: "<|user|>\nhi<|end|>\n<|assistant|>\nyes<|end|>", 4: "<|unknown|>\n<|end|>"}
     assert chat.render_chats(df.limit(0)).count() == 0
+
+
+def test_components_equal_union_find(spark):
+    import random
+
+    from lanewright.llm.components import components
+
+    rng = random.Random(1)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(5, 5), (None, 3), (3, None), (301, 302), (302, 303), (303, 304), (304, 305)]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {r.node: r.component for r in components(df).collect()} == {x: root(x) for x in parent}
+    assert components(df.limit(0)).count() == 0
