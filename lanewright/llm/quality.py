@@ -99,10 +99,10 @@ def _measure(text: bytes, memo: Shapes):
     at, shares, votes = _style(text, memo)
     words = cores(text)
     terms, numbers = np.unique(np.array([t for w in words for t in term_buckets(w)], np.int64), return_counts=True)
-    return at, shares, terms.tolist(), numbers.tolist(), votes, int(not INSULTS.isdisjoint(words))
+    return at, shares, terms.tolist(), np.minimum(numbers, 100).tolist(), votes, int(not INSULTS.isdisjoint(words))
 
 
-_SAMPLE = "quality int, toxic int, shapes array<int>, shares array<float>, terms array<int>, numbers array<int>, junk array<int>, insult int"
+_SAMPLE = "quality int, toxic int, shapes array<int>, shares array<float>, terms array<int>, numbers array<tinyint>, junk array<int>, insult int"
 
 
 def _sampled(batches):
@@ -110,7 +110,7 @@ def _sampled(batches):
     for (quality, toxic), texts in text_chunks(batches, ["quality", "toxic"]):
         rows = [_measure(t, memo) for t in texts]
         ints = pa.list_(pa.int32())
-        kinds = (pa.int32(), pa.int32(), ints, pa.list_(pa.float32()), ints, ints, ints, pa.int32())
+        kinds = (pa.int32(), pa.int32(), ints, pa.list_(pa.float32()), ints, pa.list_(pa.int8()), ints, pa.int32())
         columns = (quality, toxic, *zip(*rows))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["quality", "toxic", "shapes", "shares", "terms", "numbers", "junk", "insult"])
 
@@ -183,9 +183,12 @@ def fit(sample) -> Scorer:
     for i, (at, values) in enumerate(zip(sample["shapes"], sample["shares"])):
         x[i, at] = values
     shapes, shape_bias = _fit_linear(x, junk, rate=0.3)
+    del x
 
-    doc = np.repeat(np.arange(n), sample["terms"].map(len))
-    term, number = np.concatenate(sample["terms"].tolist()).astype(np.int64), np.concatenate(sample["numbers"].tolist())
+    doc = np.repeat(np.arange(n, dtype=np.int32), sample["terms"].map(len))
+    term, number = np.concatenate(sample["terms"].tolist()).astype(np.int32, copy=False), np.concatenate(sample["numbers"].tolist()).astype(np.int8)
+    held = np.bincount(term, minlength=TERMS)[term] > 1  # a term of one document tells neither toxicity nor copies
+    doc, term, number = doc[held], term[held], number[held]
     # Copies of one document say nothing new about a term: of those that share a least rare term one stays.
     alone = _one_of_copies(doc, term, n)
     doc, term, number = (v[alone[doc]] for v in (doc, term, number))
