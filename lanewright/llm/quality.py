@@ -11,6 +11,7 @@ documents and then score every document.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -212,6 +213,13 @@ def fit(sample) -> Scorer:
     return Scorer(shapes, shape_bias, {int(t): float(w) for t, w in zip(chosen, weights) if w > 0}, bias, accuracies)
 
 
+def _fitted(parts):
+    """The scorer of all rows of the sample, fitted where they are."""
+    held = list(parts)
+    if sum(map(len, held)):
+        yield pd.DataFrame({"model": [pickle.dumps(fit(pd.concat(held, ignore_index=True)))]})
+
+
 def train(docs: DataFrame, labels: DataFrame | None, sample_rows: int = SAMPLE) -> Scorer:
     """Fit on the labelled documents among the ``sample_rows`` labels of least hashed id."""
     if labels is None:
@@ -219,7 +227,9 @@ def train(docs: DataFrame, labels: DataFrame | None, sample_rows: int = SAMPLE)
     told = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).filter("label_id is not null")
     told = told.groupBy("label_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("label_id"), "label_id").limit(sample_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("t")).join(F.broadcast(told), F.col("doc_id") == F.col("label_id"))
-    return fit(rows.select("quality", "toxic", "t").mapInArrow(_sampled, _SAMPLE).toPandas())
+    sample = rows.select("quality", "toxic", "t").mapInArrow(_sampled, _SAMPLE)
+    made = sample.repartition(1).mapInPandas(_fitted, "model binary").collect()  # at most ``sample_rows`` rows meet, one comes back
+    return pickle.loads(made[0]["model"]) if made else fit(_no_sample())
 
 
 def _no_sample():
