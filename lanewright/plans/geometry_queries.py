@@ -237,8 +237,8 @@ def area_sums(spark, d):
 
 def round_buffers(spark, d):
     _, g = _rings(spark, d)
-    b = overlay.buffered(g.filter("id < 20").select("ring"), 2.0)
-    p = g.filter("id < 20").select(F.lit("A").alias("layer"), "ring").union(b.select(F.lit("M"), "ring"))
+    b = overlay.buffered(g.select("ring"), 2.0)
+    p = g.select(F.lit("A").alias("layer"), "ring").union(b.select(F.lit("M"), "ring"))
     return overlay.overlay_areas(p, 64.0).select(F.round("a", 3).alias("a"), F.round("mask", 3).alias("mask"))
 
 

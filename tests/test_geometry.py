@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lanewright.functions import fixtures as fx
 from lanewright.functions import geom
 from lanewright.operators import graph, lanes, overlay, polyline, raster
+from lanewright.plans import geometry_queries
 
 
 def line(spark, *pts, line_id=1):
@@ -111,6 +112,26 @@ def test_overlay_of_triangles_and_round_buffer(spark):
     assert overlay.coverage_metrics(square.limit(0), square.limit(0)).first().iou == 0.0
 
 
+def test_round_buffers_take_every_rectangle(spark, tmp_path):
+    """Rectangles far apart, most of them with ids of 20 and more: their areas and those of 64-gons at the corners add up."""
+    rows = [(0, 1), (10, 7), (30, 25), (1040, 50), (2010, 20), (2030, 33)]
+    spark.createDataFrame([(i, "LARGE", n) for i, n in rows], "p_partkey long, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    r = geometry_queries.round_buffers(spark, str(tmp_path)).first()
+    inner = sum(n * (51 - n) for _, n in rows)
+    assert r.a == pytest.approx(inner, abs=1e-3)
+    assert r.mask == pytest.approx(inner + len(rows) * (2 * 2 * 51 + 32 * 4 * math.sin(2 * math.pi / 64)), abs=1e-3)
+
+
+def test_quartered_cells_add_up():
+    rng = np.random.default_rng(5)
+    rings = []
+    for k in range(60):
+        x, y, r = rng.uniform(0, 64), rng.uniform(0, 64), rng.uniform(2, 12)
+        rings.append(("ABM"[k % 3], [(x + r * math.cos(t), y + r * math.sin(t)) for t in np.sort(rng.uniform(0, 2 * math.pi, 20))]))
+    whole, parts = overlay.box_areas(rings, 0, 0, 64, 64, overlay.BOX_DEPTH), overlay.box_areas(rings, 0, 0, 64, 64)
+    assert whole.keys() == parts.keys() and all(parts[k] == pytest.approx(v) for k, v in whole.items())
+
+
 def test_overlay_identity_of_random_polygons(spark):
     rng = np.random.default_rng(3)
     rows = []
