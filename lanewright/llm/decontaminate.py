@@ -3,9 +3,11 @@
 Numbers, units after numbers and names (capitalised words inside a sentence)
 become typed placeholders.  Windows of template words of the benchmark are
 joined by hash with those of the documents, so a question asked again with
-other values is met like a verbatim one.  A match counts if its slots are
-consistent: along one alignment each value of the item stands for one value of
-the document and the other way round.  Every window is also matched with names
+other values is met like a verbatim one.  A window counts if its slots are
+equal word for word, or consistent: along one alignment each of its values of
+the item stands for one value of the document.  Where one stands for two, the
+windows that hold it drop out, and those that share a value with such a window
+of other values; the rest of the alignment counts.  Every window is also matched with names
 left as they are, which finds copies whose letter case was changed.
 """
 
@@ -168,10 +170,16 @@ def _hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
     return docs.mapInArrow(search, _HIT)
 
 
-def _one_to_one(pairs: Column) -> Column:
-    """Whether distinct (item value, document value) pairs map each value to one partner, both ways."""
-    n = F.size(pairs)
-    return (F.size(F.array_distinct(F.transform(pairs, lambda x: x["a"]))) == n) & (F.size(F.array_distinct(F.transform(pairs, lambda x: x["b"]))) == n)
+_values = lambda w: F.transform(w["pairs"], lambda p: p["a"])
+_literal = lambda w: F.forall(w["pairs"], lambda p: p["a"] == p["b"])
+
+
+def _clashes(windows: Column) -> Column:
+    """Item values that the windows (item_at, pairs) of one alignment give different document values."""
+    pairs = F.array_sort(F.array_distinct(F.flatten(F.transform(windows, lambda w: w["pairs"]))))
+    n = F.greatest(F.size(pairs) - 1, F.lit(0))
+    twice = F.zip_with(F.slice(pairs, F.lit(1), n), F.slice(pairs, F.lit(2), n), lambda p, q: F.when(p["a"] == q["a"], p["a"]))
+    return F.array_distinct(F.array_compact(twice))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -198,8 +206,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     pairs = hits.join(windows, ["hash", "size"]).filter("doc_id is not null and item_id is not null and size(slots) = size(item_slots)")
     zipped = F.transform(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
     pairs = pairs.withColumn("pairs", zipped).withColumn("line", F.col("at") - F.col("item_at"))
-    lines = pairs.groupBy("doc_id", "item_id", "n_words", "size", "line").agg(F.collect_set("item_at").alias("starts"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    lines = lines.filter(_one_to_one(F.col("pairs"))).withColumn("words", F.flatten(F.transform("starts", lambda p: F.sequence(p, p + F.col("size") - 1))))
+    lines = pairs.groupBy("doc_id", "item_id", "n_words", "size", "line").agg(F.collect_set(F.struct("item_at", "pairs")).alias("windows"))
+    lines = lines.withColumn("clashes", _clashes(F.col("windows")))
+    at_odds = F.filter("windows", lambda w: ~_literal(w) & F.arrays_overlap(_values(w), F.col("clashes")))
+    lines = lines.withColumn("doubted", F.array_distinct(F.concat("clashes", F.flatten(F.transform(at_odds, _values)))))
+    sound = F.filter("windows", lambda w: _literal(w) | ~F.arrays_overlap(_values(w), F.col("doubted")))
+    lines = lines.withColumn("starts", F.array_distinct(F.transform(sound, lambda w: w["item_at"]))).withColumn("words", F.flatten(F.transform("starts", lambda p: F.sequence(p, p + F.col("size") - 1))))
     out = lines.groupBy("doc_id", "item_id", "n_words").agg(F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("n_covered"))
     out = out.filter(F.col("n_covered") >= F.least(F.lit(LEAST_COVERED), F.col("n_words")))
     return out.select("doc_id", "item_id", F.col("n_covered").cast("long").alias("n_covered"), F.col("n_words").cast("long").alias("n_words"))

@@ -102,6 +102,17 @@ def test_reparameterised_questions(spark):
     assert decontaminate.contaminated(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_conflicts_drop_their_own_windows_alone(spark):
+    run = " ".join(f"word{c}" for c in "abcdefghijklmnopqrstuvwxyz")
+    bench = spark.createDataFrame([(1, f"when Tom met {run} and saw Tom again"), (2, "there are 3 red apples in one basket and 5 green ones in the other so how many are left there")], "item_id long, text string")
+    rows = [
+        (1, f"when Tom met {run} and saw Bob again"), (2, "there are 4 red apples in one basket and 4 green ones in the other so how many are left there"),
+        (3, "when Ann met nobody and saw Bob again"), (4, "there are 4 red apples in two baskets and 4 green ones elsewhere"),
+    ]
+    got = {(r.doc_id, r.item_id): r.n_covered for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(1, 1): 31, (2, 2): 21}
+
+
 # -- packing
 
 
