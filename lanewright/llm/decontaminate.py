@@ -8,7 +8,8 @@ equal word for word, or consistent: along one alignment each of its values of
 the item stands for one value of the document.  Where one stands for two, the
 windows that hold it drop out, and those that share a value with such a window
 of other values; the rest of the alignment counts.  Every window is also matched with names
-left as they are, which finds copies whose letter case was changed.
+left as they are, which finds copies whose letter case was changed, and word for
+word with no placeholder at all, which finds copies of what is mostly numbers.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from lanewright.llm.common import rolling, text_chunks
 
 WINDOW = 8
-#: Words of a window that must not be placeholders; template words of an item that matches must cover.
+#: Words of a template window that must not be placeholders (and words of an item); template words of an item that matches must cover.
 LEAST_LITERAL, LEAST_COVERED = 4, 13
 #: Hashes of benchmark windows that one pass over the documents holds; a larger benchmark takes more passes.
 PASS_HASHES = 2_000_000
@@ -76,7 +77,7 @@ _NUM, _UNIT, _NAME = (np.uint64(x) for x in (0x1F3D5B79A8C6E402, 0x2A4C6E8091B3D
 
 
 def template(texts: list[bytes], words: Words):
-    """(text number, core words, literal hashes, template hashes, kinds) of all words but bare punctuation.
+    """(text number, core words, hashes of the words, of the template with names left, of the template, kinds) of all words but bare punctuation.
 
     Kinds: 0 literal, 1 number, 2 unit, 3 name.
     """
@@ -98,7 +99,7 @@ def template(texts: list[bytes], words: Words):
         unit[0] = False
     kind[number], kind[unit] = 1, 2
     plain = np.where(kind == 1, _NUM, np.where(kind == 2, _UNIT, hashes))
-    return of, idx, plain, np.where(kind == 3, _NAME, plain), kind
+    return of, idx, hashes, plain, np.where(kind == 3, _NAME, plain), kind
 
 
 def _windows(of, values, size):
@@ -118,7 +119,7 @@ def _benchmark_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
     def cut(batches):
         words = Words()
         for (ids,), texts in text_chunks(batches, ["item_id"]):
-            of, idx, plain, named, kind = template(texts, words)
+            of, idx, literal, plain, named, kind = template(texts, words)
             out = [[] for _ in range(6)]
             ends = np.searchsorted(of, np.arange(len(texts) + 1))
             for k in range(len(texts)):
@@ -132,6 +133,10 @@ def _benchmark_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
                         if size - len(slots) >= LEAST_LITERAL and (is_named or (kind[a + i : a + i + size] == 3).any()):
                             for col, x in zip(out, (ids[k], i, h, size, slots, int(b - a))):
                                 col.append(x)
+                for i, h in enumerate(rolling(literal[a:b], size).view(np.int64).tolist()):
+                    if np.isin(kind[a + i : a + i + size], (1, 2)).any():  # without numbers and units a template is word for word
+                        for col, x in zip(out, (ids[k], i, h, size, [], int(b - a))):
+                            col.append(x)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["item_id", "item_at", "hash", "size", "item_slots", "n_words"])
 
@@ -149,20 +154,23 @@ def _hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
             sieve[size] = np.zeros(1 << 22, bool)
             sieve[size][(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         for (ids,), texts in text_chunks(batches, ["doc_id"]):
-            of, idx, plain, named, kind = template(texts, words)
+            of, idx, literal, plain, named, kind = template(texts, words)
             starts = np.searchsorted(of, np.arange(len(texts)))
             out = [[] for _ in range(5)]
-            differ = bool((kind == 3).any())
+            # each way of reading a window, and the kinds of word without which it is one of the others
+            ways = [(named, ()), (plain, (3,)), (literal, (1, 2))]
+            ways = [(values, kinds) for values, kinds in ways if not kinds or np.isin(kind, kinds).any()]
             for size, hashes in wanted.items():
-                for values, is_named in ((named, True), (plain, False))[: 1 + differ]:
+                for values, kinds in ways:
                     at, h = _windows(of, values, size)
                     near = sieve[size][(h & np.uint64((1 << 22) - 1)).astype(np.int64)]
                     at, h = at[near], h[near]
                     place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
                     found = hashes[place] == h
                     for i, x in zip(at[found].tolist(), h[found].view(np.int64).tolist()):
-                        if is_named or (kind[i : i + size] == 3).any():
-                            for col, y in zip(out, (ids[of[i]], i - int(starts[of[i]]), x, size, _slots(words, idx, kind, i, size, is_named))):
+                        if not kinds or np.isin(kind[i : i + size], kinds).any():
+                            slots = [] if values is literal else _slots(words, idx, kind, i, size, values is named)
+                            for col, y in zip(out, (ids[of[i]], i - int(starts[of[i]]), x, size, slots)):
                                 col.append(y)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "at", "hash", "size", "slots"])
@@ -186,8 +194,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """Pairs (doc_id, item_id, n_covered, n_words): documents that hold a benchmark item or a re-parameterised one.
 
     ``n_covered`` of the item's ``n_words`` template words lie in matched
-    windows of WINDOW words (the whole item, if shorter) with consistent slots;
-    a pair needs LEAST_COVERED of them, or all of a shorter item.  Null and
+    windows of WINDOW words (the whole item, if shorter), word for word or with
+    consistent slots; bare punctuation, signs of arithmetic included, isn't a word.
+    A pair needs LEAST_COVERED of them, or all of a shorter item.  Null and
     empty texts match nothing, nor do items of under LEAST_LITERAL words; a null
     id can't be reported, so such rows give no pair; repeated rows give one
     pair; empty tables give no rows; further columns are ignored.

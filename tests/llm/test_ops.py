@@ -113,6 +113,16 @@ def test_conflicts_drop_their_own_windows_alone(spark):
     assert got == {(1, 1): 31, (2, 2): 21}
 
 
+def test_items_of_numbers_are_found_word_for_word(spark):
+    bench = spark.createDataFrame([(1, "Compute 12 + 7 * 3 - 4"), (2, "row 17 23 88 of 41 is 96"), (3, "this table ends with the values 5 10 15 20 25"), (4, "in June Ann met Bob Lee 7 times")], "item_id long, text string")
+    rows = [
+        (1, "Now we have it. Compute 12 + 7 * 3 - 4 and be done"), (2, "so ROW 17 23 88 of 41 is 96 then"), (3, "here this table ends with the values 5 10 15 20 25 too"), (4, "see in June Ann met Bob Lee 7 times"),
+        (5, "Compute 12 + 7 * 3 - 5"), (6, "row 17 24 88 of 41 is 96"), (7, "in June Ann met Bob Lee 8 times"),
+    ]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert got >= {(1, 1), (2, 2), (3, 3), (4, 4)} and not {(5, 1), (6, 2)} & got
+
+
 # -- packing
 
 
