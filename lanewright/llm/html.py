@@ -27,6 +27,8 @@ TRAIN_PAGES, EPOCHS, BATCH, SEED = 1500, 8, 30, 7
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3
 h4 h5 h6 header hgroup hr html legend li main menu nav noframes ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul""".split())
 SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video textarea datalist".split())
+RAW = frozenset("script style textarea title iframe".split())  # what follows the tag is no markup up to the end tag
+NESTED = frozenset("template svg math object".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("body html optgroup option caption tbody td tfoot th thead tr".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "tfoot", "tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
@@ -45,8 +47,14 @@ class Block:
 
 
 def parse_blocks(page: str) -> list[Block]:
-    """Leaf blocks with text, in page order; character references are decoded and white space is folded."""
+    """Leaf blocks with text, in page order; character references are decoded and white space is folded.
+
+    Of a silent element without an end tag only the tag is skipped (so an open
+    head ends at what can't be in it); a script, style, textarea, title or
+    iframe without one takes the rest of the page.
+    """
     blocks, stack, block, links, at = [], [], None, 0, 0
+    unclosed, open_head = set(), False
 
     def close(depth):
         nonlocal block, links
@@ -94,15 +102,25 @@ def parse_blocks(page: str) -> list[Block]:
             continue
         if name in SILENT:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                if name == "head" and end is None:
+                end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                if end is None:
+                    unclosed.add(name)  # there is no end tag from here on
+                if name == "head":
+                    open_head = end is None
+                elif end and name not in RAW | NESTED and re.compile(rf"<{re.escape(name)}\b", re.I).search(page, at, end.start()):
+                    end = None  # that tag ends a later element
+                elif end is None and name in RAW and open_head:
                     end = re.compile(r"(?=<body\b)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if end:
+                    at = end.end()
+                elif name in RAW:
+                    at = len(page)
             continue
         if name in VOID:
             if name == "hr":
                 block = None
             continue
+        open_head = False
         if name in CLOSES_P:
             p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
             if p is not None and not any(t in BLOCKS for t, _, _ in stack[p + 1 :]):

@@ -22,6 +22,18 @@ def test_blocks():
         html.parse_blocks(broken)
 
 
+def test_unclosed_silent_elements_keep_the_rest():
+    text = lambda page: [b.text for b in html.parse_blocks(page)]
+    assert text("<head><title>T</title><meta charset=utf-8><style>p{}</style><p>article<p>more") == ["article", "more"]
+    assert text("<html><head><title>T</title><body><p>x") == text("<html><head><title>T<body><p>x") == ["x"]
+    for name in ("noscript", "object", "video", "audio", "canvas", "svg", "math", "template", "datalist"):
+        assert text(f"<p>a</p><{name}><p>b</p><p>c") == ["a", "b", "c"], name
+        assert text(f"<p>a</p><{name}><i>b</i></{name}><p>c") == ["a", "c"], name
+    assert text("<p>a</p><noscript><p>b</p><noscript>c</noscript><p>d") == ["a", "b", "d"]
+    for name in ("script", "style", "textarea", "title", "iframe"):
+        assert text(f"<p>a</p><{name}><p>b</p><p>c") == ["a"], name
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in html.new_weights(rng).items()}
