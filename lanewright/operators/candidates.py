@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lanewright.functions.geom import angle_between, point
 
+#: Distinct x of a smoothed line for each of its knots.
+POINTS_A_KNOT = 4
+
 
 def small_boxes(boxes: DataFrame, most: float = 200.0) -> DataFrame:
     """Boxes (x0, y0, x1, y1) with both sides strictly below ``most``."""
@@ -89,26 +92,76 @@ def feature_mask(features: DataFrame, pixels: DataFrame, key: str) -> DataFrame:
     return pixels.join(multi, F.col(key) == F.col("__k"), "left_anti").select(key, "row", "col").distinct()
 
 
-def smooth_line(x: np.ndarray, y: np.ndarray, weight: np.ndarray, smoothing: float, at: np.ndarray) -> np.ndarray:
-    """Values at ``at`` of a cubic polynomial through weighted points, its curvature penalised by ``smoothing``."""
-    lo, span = x.min(), max(np.ptp(x), 1e-9)
-    basis = lambda v: np.vander((v - lo) / span, 4, increasing=True)
-    b, w = basis(x), weight / weight.sum()
-    bend = np.array([[0, 0, 0, 0], [0, 0, 0, 0], [0, 0, 4, 6], [0, 0, 6, 12.0]])
-    c = np.linalg.lstsq(b.T @ (w[:, None] * b) + smoothing * bend + 1e-12 * np.eye(4), b.T @ (w * y), rcond=None)[0]
-    return basis(at) @ c
+def _cubic_basis(u: np.ndarray, knots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, values): the four cubic B-splines over ``knots`` (ends four times) that aren't 0 at each u, and the number of the first."""
+    span = np.clip(np.searchsorted(knots, u, side="right") - 1, 3, len(knots) - 5)
+    n = np.zeros((len(u), 4))
+    n[:, 0] = 1
+    for j in (1, 2, 3):
+        saved = np.zeros(len(u))
+        for r in range(j):
+            right, left = knots[span + r + 1], knots[span + 1 - j + r]
+            part = n[:, r] / (right - left)
+            n[:, r], saved = saved + (right - u) * part, (u - left) * part
+        n[:, j] = saved
+    return span - 3, n
+
+
+def _solve_band(band: list[list[float]], rhs: list[float]) -> np.ndarray:
+    """Solution of a positive definite system; band[i][k] is its element (i, i + k), k up to 3."""
+    n, d, low, z = len(rhs), [0.0] * len(rhs), [[0.0] * 4 for _ in rhs], list(rhs)
+    for i in range(n):
+        for j in range(max(0, i - 3), i):
+            v = band[j][i - j] - sum(low[i][i - k] * low[j][j - k] * d[k] for k in range(max(0, i - 3), j))
+            low[i][i - j] = v / d[j]
+        d[i] = band[i][0] - sum(low[i][i - k] ** 2 * d[k] for k in range(max(0, i - 3), i))
+        z[i] -= sum(low[i][i - k] * z[k] for k in range(max(0, i - 3), i))
+    for i in range(n - 1, -1, -1):
+        z[i] = z[i] / d[i] - sum(low[k][k - i] * z[k] for k in range(i + 1, min(n, i + 4)))
+    return np.array(z)
 
 
-def smoothed(points: DataFrame, smoothing: float, steps: int = 20) -> DataFrame:
-    """(line_id, pos, x, y): a smoothed line of each group of weighted points (line_id, x, y, weight); fewer than four points stay as they are."""
+def smooth_line(x: np.ndarray, y: np.ndarray, weight: np.ndarray, smoothing: float, at: np.ndarray) -> np.ndarray:
+    """Values at ``at`` of a cubic spline through weighted points, its squared curvature (x scaled to 0..1) penalised by ``smoothing``.
+
+    Every POINTS_A_KNOT-th distinct x is a knot.
+    """
+    lo, span = x.min(), max(np.ptp(x), 1e-9)
+    scaled = np.unique((x - lo) / span)
+    inner = scaled[POINTS_A_KNOT : len(scaled) - POINTS_A_KNOT + 1 : POINTS_A_KNOT]
+    knots = np.concatenate([np.zeros(4), inner, np.ones(4)])
+    w, m = weight / weight.sum(), len(inner) + 4
+    first, n = _cubic_basis((x - lo) / span, knots)
+    band, rhs = np.zeros((m, 4)), np.zeros(m)
+    for i in range(4):
+        np.add.at(rhs, first + i, w * n[:, i] * y)
+        for j in range(i, 4):
+            np.add.at(band, (first + i, j - i), w * n[:, i] * n[:, j])
+    # second derivatives at the distinct knots from coefficients k, k + 1, k + 2; between knots they are straight lines
+    k = np.arange(m - 2)
+    outer, one, two = 2 / (knots[k + 4] - knots[k + 2]), 3 / (knots[k + 4] - knots[k + 1]), 3 / (knots[k + 5] - knots[k + 2])
+    bend = np.stack([outer * one, -outer * (one + two), outer * two, np.zeros(m - 2)], axis=1)
+    h = np.diff(knots[3 : m + 1])
+    here, there = bend[:-1], np.roll(bend[1:], 1, axis=1)  # both as weights of coefficients k to k + 3
+    for i in range(4):
+        for j in range(i, 4):
+            pair = here[:, i] * here[:, j] + there[:, i] * there[:, j] + (here[:, i] * there[:, j] + there[:, i] * here[:, j]) / 2
+            np.add.at(band, (k[:-1] + i, j - i), smoothing * h / 3 * pair)
+    band[:, 0] += 1e-12
+    c = _solve_band(band.tolist(), rhs.tolist())
+    first, n = _cubic_basis((at - lo) / span, knots)
+    return sum(c[first + i] * n[:, i] for i in range(4))
+
+
+def smoothed(points: DataFrame, smoothing: float) -> DataFrame:
+    """(line_id, pos, x, y): a smoothed line of each group of weighted points (line_id, x, y, weight), at every x; fewer than four points stay as they are."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "y"])
         x, y, w = (pdf[c].to_numpy() for c in ("x", "y", "weight"))
-        if len(x) < 4 or w.sum() <= 0:
-            return pd.DataFrame({"line_id": pdf["line_id"], "pos": range(len(pdf)), "x": x, "y": y})
-        at = np.linspace(x.min(), x.max(), steps)
-        return pd.DataFrame({"line_id": pdf["line_id"].iloc[0], "pos": range(steps), "x": at, "y": smooth_line(x, y, w, smoothing, at)})
+        if len(x) >= 4 and w.sum() > 0:
+            y = smooth_line(x, y, w, smoothing, x)
+        return pd.DataFrame({"line_id": pdf["line_id"], "pos": range(len(pdf)), "x": x, "y": y})
 
     return points.select("line_id", "x", "y", "weight").groupBy("line_id").applyInPandas(one, f"line_id {points.schema['line_id'].dataType.simpleString()}, pos int, x double, y double")
 

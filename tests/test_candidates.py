@@ -18,6 +18,23 @@ def test_smoothing_keeps_a_cubic_and_flattens_noise():
     assert np.abs(np.diff(noisy, 2)).max() < 1e-3
 
 
+def test_smoothing_follows_many_bends():
+    x = np.sort(np.random.default_rng(1).uniform(0, 10, 200))
+    y = np.sin(3 * x)
+    assert np.abs(candidates.smooth_line(x, y, np.ones(200), 1e-11, x) - y).max() < 1e-2
+    # a stiff line is the weighted straight fit
+    w = 1 + np.arange(200) % 3
+    stiff = candidates.smooth_line(x, y, w, 1e4, x)
+    assert np.allclose(stiff, np.polyval(np.polyfit(x, y, 1, w=np.sqrt(w)), x), atol=1e-3)
+    few = candidates.smooth_line(np.array([0, 0, 1, 1.0]), np.array([1, 3, 2, 2.0]), np.ones(4), 1e-3, np.array([0, 1.0]))
+    assert np.allclose(few, [2, 2], atol=1e-6)
+
+
+def test_smoothed_lines_have_every_point(spark):
+    df = spark.createDataFrame([(1, float(k), float(k % 2), 1.0) for k in range(50)], "line_id int, x double, y double, weight double")
+    assert sorted((r.pos, r.x) for r in candidates.smoothed(df, 1e-3).collect()) == [(k, float(k)) for k in range(50)]
+
+
 def test_validity(spark):
     one = spark.range(1)
     check = lambda line, **k: one.select(candidates.valid_line(line, 10, 20, **k).alias("v")).first().v
