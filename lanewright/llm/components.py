@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import staged
+from lanewright.llm.common import discard, staged
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -25,7 +25,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        edges = staged(small, "edges")
+        before, edges = edges if state else None, staged(small, "edges")
+        if before is not None:
+            discard(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first())
         if now == state:
             break

@@ -1,17 +1,25 @@
 """MinHash near-duplicates by a signature-coordinate inverted join.
 
-Documents of equal shingle sets are first folded into one class.  Each class is
-posted under the values of PREFIX of its COORDINATES MinHash coordinates; pairs
-that meet in a posting list have their equal coordinates counted and are
-candidates from MATCHES on.  Merging a list skips what can't matter: partners of
-too different a size, and those that the list has connected already, so a list
-of near copies costs about one pass.  Connected candidates form clouds; each
-class sends its full set once to its cloud, where links are confirmed exactly
-and only a spanning forest of them leaves.  Components are taken of those.
-
-A link at a similarity of 0.75 has 128 coordinates of which 96 are equal on
-average, with a standard deviation of 4.9: fewer than MATCHES are seen in about
-2 of 100,000, and no common value among PREFIX in 1 of a million.
+Documents of equal shingle sets are first folded into one class.  A class is
+posted under each (coordinate, value) of its COORDINATES MinHash coordinates,
+and the postings are counted.  Values of one class alone can't be shared and go;
+classes with fewer than MATCHES left have no candidate.  Of the others the
+rarest c - MATCHES + 1 of the c left are their prefix: two classes that share
+MATCHES values share one within both prefixes, the rarest they share, as at
+least MATCHES - 1 shared ones follow it in both.  So only the lists of prefixes
+are merged, and a pair that meets there has its other collisions counted by
+skipping to the two rows' own coordinates.  Merging a list also skips partners
+of too different a size, and those that the list has connected already, so a
+list of near copies costs about one pass.
+
+Connected candidates form clouds; each class sends its full set once to its
+cloud, where links are confirmed exactly and only a spanning forest of them
+leaves.  Components are taken of those.  Lists and clouds that are too large for
+a task are cut into blocks, of which the parts that are still apart are compared
+with all others; nothing is left out.
+
+At a similarity of 0.75 48 of 64 coordinates are equal on average, with a
+standard deviation of 3.5: fewer than MATCHES are in about 5 of a million.
 """
 
 from __future__ import annotations
@@ -23,34 +31,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import WordHashes, mix, rolling, staged, text_chunks, word_hashes
+from lanewright.llm.common import join_classes, mix, rolling, span_hashes, staged, text_chunks, word_spans
 from lanewright.llm.components import components
 
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 75, 100
-COORDINATES, PREFIX, MATCHES = 128, 10, 76
-#: A longer posting list is posted again under pairs of coordinates; one that is still longer is cut into blocks.
-LIST = 4096
+COORDINATES, MATCHES = 64, 32
+#: Rows of a list, or classes of a cloud, that one task compares; longer ones are cut into blocks.
+LIST, CLOUD = 4096, 4096
+#: Shingles of a block of a cloud, about.
+CLOUD_SHINGLES = 4_000_000
 #: Lists of up to this size are compared for all lists of a batch at once.
 SHORT = 24
 #: Rows of a list that are compared with the others at a time.
 FRONT = 256
-#: A larger cloud is cut into blocks that meet in pairs.
-CLOUD = 1500
-#: Bytes of a shingle hash in the sets that links are confirmed on.
-SET_BYTES = 5
 
 
 def _multipliers() -> np.ndarray:
     return mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def shingle_sets(texts: list[bytes], memo: WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    split = [t.lower().split() for t in texts]  # lower() and split() of bytes know ASCII only
-    hashes = word_hashes([w for s in split for w in s], memo)
+    spans = word_spans(texts, lower=True)
+    hashes = span_hashes(spans)
     runs, out, at = rolling(hashes, SHINGLE), [], 0
-    for s in split:
-        n = len(s)
+    for n in spans.counts.tolist():
         if n >= SHINGLE:
             out.append(np.unique(runs[at : at + n - SHINGLE + 1]))
         elif n:
@@ -61,25 +66,28 @@ def shingle_sets(texts: list[bytes], memo: WordHashes) -> list[np.ndarray]:
     return out
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def _sign(batches):
-    memo, factors = WordHashes(), _multipliers()
+    factors = _multipliers()
     names = ["doc_id", "n_shingles", "digest", "keys", "sig"]
-    for (ids,), texts in text_chunks(batches, ["doc_id"], limit=1_000_000):
-        sets = shingle_sets(texts, memo)
+    for (ids,), texts in text_chunks(batches, ["doc_id"], limit=500_000):
+        sets = shingle_sets(texts)
         sizes = np.array([len(s) for s in sets], np.int64)
         full = np.flatnonzero(sizes)
-        digests, keys, sigs = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+        keys, sigs = [None] * len(sets), [None] * len(sets)
         if len(full):
             every = np.concatenate([sets[i] for i in full])
             starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
             least = np.stack([np.minimum.reduceat(every * f, starts) for f in factors], axis=1)
             low = (mix(least) & np.uint64(255)).astype(np.uint8)
-            posted = mix(least[:, :PREFIX] ^ (np.arange(1, PREFIX + 1, dtype=np.uint64) << np.uint64(56))).view(np.int64)
+            posted = mix(least ^ (np.arange(1, COORDINATES + 1, dtype=np.uint64) << np.uint64(56))).view(np.int64)
             for row, i in enumerate(full):
-                digests[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                keys[i], sigs[i] = posted[row].tolist(), low[row].tobytes()
+                keys[i], sigs[i] = posted[row], low[row].tobytes()
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, sizes, digests, keys, sigs), kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, sizes, list(map(_digest, sets)), keys, sigs), kinds)], names=names)
 
 
 def _runs(batches, key: str):
@@ -115,7 +123,7 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def _spread(size: int, rows_equal):
+def _spread(size: int, linked):
     """Labels of connected rows: a front is compared with the unseen rows alone, until none is left."""
     label, unseen = np.arange(size), np.arange(size)
     while len(unseen):
@@ -126,7 +134,7 @@ def _spread(size: int, rows_equal):
             if len(front) > FRONT:
                 todo.append(front[FRONT:])
                 front = front[:FRONT]
-            hit = rows_equal(front, unseen)
+            hit = linked(front, unseen).any(0)
             if hit.any():
                 found, unseen = unseen[hit], unseen[~hit]
                 label[found] = start
@@ -134,11 +142,71 @@ def _spread(size: int, rows_equal):
     return label
 
 
+class Signatures:
+    """Rows of MinHash bytes; a pair is a candidate from MATCHES equal coordinates on."""
+
+    def __init__(self, payloads: list[bytes], sizes: np.ndarray):
+        self.columns = np.ascontiguousarray(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, COORDINATES).T)
+        self.sizes = sizes
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(a), len(b)), bool)
+        for lo in range(0, len(b), 4096):
+            some = b[lo : lo + 4096]
+            equal = np.zeros((len(a), len(some)), np.uint8)
+            for c in self.columns:
+                equal += c[a, None] == c[None, some]
+            out[:, lo : lo + 4096] = (equal >= MATCHES) & _close(self.sizes[a, None], self.sizes[None, some])
+        return out
+
+
+class Sets:
+    """Full shingle sets; links are exact.  Only shingles of two sets or more count in intersections."""
+
+    def __init__(self, payloads: list[bytes], sizes=None):
+        sets = [np.frombuffer(p, np.uint64) for p in payloads]
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        names, column = np.unique(np.concatenate(sets), return_inverse=True)
+        row = np.repeat(np.arange(len(sets)), self.sizes)
+        shared = np.bincount(column, minlength=len(names)) > 1
+        held = shared[column]
+        row, self.column = row[held], (np.cumsum(shared) - 1)[column[held]]
+        self.width, self.dense = int(shared.sum()), []
+        if len(sets) * self.width <= 40_000_000:
+            for lo in range(0, self.width, 8192):
+                hi = min(self.width, lo + 8192)
+                x = np.zeros((len(sets), hi - lo), np.float32)
+                pick = (self.column >= lo) & (self.column < hi)
+                x[row[pick], self.column[pick] - lo] = 1
+                self.dense.append(x)
+        self.cuts = np.searchsorted(row, np.arange(len(sets) + 1))
+
+    def linked(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        both = np.zeros((len(a), len(b)), np.float64)
+        if self.dense:
+            for x in self.dense:
+                both += x[a] @ x[b].T
+        else:  # wide clouds: count by the front's shingles
+            mark = np.zeros(self.width, bool)
+            for k, i in enumerate(a):
+                mark[:] = False
+                mark[self.column[self.cuts[i] : self.cuts[i + 1]]] = True
+                sums = np.concatenate([[0], np.cumsum(mark[self.column])])
+                both[k] = sums[self.cuts[b + 1]] - sums[self.cuts[b]]
+        every = self.sizes[a, None] + self.sizes[None, b] - both
+        return DENOMINATOR * both >= NUMERATOR * every
+
+
+def _links(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def _gather(batches):
-    """Candidates of each list as links to the least row that the list connects them with."""
-    for table in _runs(batches, "key"):
-        key, ids, n = (table.column(c).to_numpy() for c in ("key", "doc_id", "n"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+    """Candidates of each list (cell) as links to the least row that the list connects them with."""
+    for table in _runs(batches, "cell"):
+        key, ids, n = (table.column(c).to_numpy() for c in ("cell", "doc_id", "n"))
+        payloads = table.column("payload").to_pylist()
+        sig = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, COORDINATES)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
         size_of = np.repeat(sizes, sizes)
@@ -151,132 +219,128 @@ def _gather(batches):
                 right.append(good + d)
         label = _labels(len(key), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(key))
         for s, size in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
-            part, own = np.ascontiguousarray(sig[s : s + size].T), n[s : s + size]
-
-            def rows_equal(front, unseen, part=part, own=own):
-                out = np.zeros(len(unseen), bool)
-                for a in range(0, len(unseen), 4096):
-                    some = unseen[a : a + 4096]
-                    equal = np.zeros((len(front), len(some)), np.uint8)
-                    for c in part:
-                        equal += c[front, None] == c[None, some]
-                    out[a : a + 4096] = ((equal >= MATCHES) & _close(own[front, None], own[None, some])).any(0)
-                return out
-
-            label[s : s + size] = s + _spread(int(size), rows_equal)
+            label[s : s + size] = s + _spread(int(size), Signatures(payloads[s : s + size], n[s : s + size]).linked)
         moved = np.flatnonzero(label != np.arange(len(key)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
+        yield _links(ids[moved], ids[label[moved]])
+
+
+def _confirm(batches):
+    """Links within each cell, as a forest: from every class to the least one that exact links connect it with."""
+    for table in _runs(batches, "cell"):
+        cell, ids = table.column("cell").to_numpy(), table.column("doc_id").to_numpy()
+        payloads = table.column("payload").to_pylist()
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        a, b = [], []
+        for s, e in zip(starts.tolist(), np.append(starts[1:], len(cell)).tolist()):
+            if e - s > 1:
+                label = _spread(e - s, Sets(payloads[s:e]).linked)
+                moved = np.flatnonzero(label != np.arange(e - s))
+                a += ids[s + moved].tolist()
+                b += ids[s + label[moved]].tolist()
+        yield _links(a, b)
 
 
-def _long(postings: DataFrame) -> DataFrame | None:
-    long = staged(postings.groupBy("key").count().filter(F.col("count") > LIST).select(F.col("key").alias("long_key"), (F.ceil(F.col("count") / LIST)).cast("int").alias("blocks")), "long")
-    return None if long.isEmpty() else long
+def _apart(kind):
+    """Of each cell: a link for every two labels of which a row of ``few`` is linked with another."""
 
+    def compare(batches):
+        for table in _runs(batches, "cell"):
+            cell, label, few = (table.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "label", "few"))
+            payloads, n = table.column("payload").to_pylist(), table.column("n").to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            found = set()
+            for s, e in zip(starts.tolist(), np.append(starts[1:], len(cell)).tolist()):
+                rows = np.arange(e - s)
+                front, others = rows[few[s:e]], rows[~few[s:e]]
+                if len(front) and len(others):
+                    matcher = kind(payloads[s:e], n[s:e])
+                    for a in range(0, len(front), FRONT):
+                        part = front[a : a + FRONT]
+                        i, j = np.nonzero(matcher.linked(part, others) & (label[s:e][part, None] != label[s:e][None, others]))
+                        found |= set(zip(label[s:e][part[i]].tolist(), label[s:e][others[j]].tolist()))
+            yield _links([x for x, _ in found], [x for _, x in found])
 
-def _postings(reps: DataFrame) -> DataFrame:
-    """Rows of ``reps`` under every list they are in, with no list over about twice LIST."""
-    cols = [c for c in reps.columns if c != "keys"]
-    first = reps.select("*", F.explode("keys").alias("key"))
-    if (long := _long(reps.select(F.explode("keys").alias("key")))) is None:
-        return first.drop("keys")
-    short = first.join(long, F.col("key") == F.col("long_key"), "left_anti").drop("keys")
-    again = first.join(long, F.col("key") == F.col("long_key")).drop("blocks", "long_key")
-    again = again.withColumn("other", F.explode(F.filter("keys", lambda k: k != F.col("key")))).drop("keys")
-    again = again.withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).select(*cols, "key").dropDuplicates(["key", "doc_id"])
-    out = short.select(*cols, "key")
-    if (long := _long(again)) is None:
-        return out.unionByName(again)
-    out = out.unionByName(again.join(long, F.col("key") == F.col("long_key"), "left_anti"))
-    return out.unionByName(_blocks(again.join(long, F.col("key") == F.col("long_key")), "key", F.col("blocks")).select(*cols, "key"))
+    return compare
 
 
-def _blocks(rows: DataFrame, key: str, blocks) -> DataFrame:
-    """Rows of a group too large for one task under the key of every pair of blocks that their own block is in."""
-    rows = rows.withColumn("__own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("__with", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    return rows.withColumn(key, F.xxhash64(key, F.least("__own", "__with"), F.greatest("__own", "__with"))).drop("__own", "__with")
+_GROUPED = ["cell", "label", "doc_id", "n", "payload"]
 
 
-def _sets(docs: DataFrame, clouds: DataFrame) -> DataFrame:
-    """(doc_id, cloud, shingles) of the documents in a cloud."""
+def _dealt(rows: DataFrame, function) -> DataFrame:
+    return rows.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(function, "a long, b long")
 
-    def cut(batches):
-        memo = WordHashes()
-        for (ids, cloud), texts in text_chunks(batches, ["doc_id", "cloud"], limit=1_000_000):
-            packed = [s.view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes() for s in shingle_sets(texts, memo)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cloud, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "cloud", "shingles"])
 
-    members = clouds.select(F.col("node").alias("__node"), F.col("component").alias("cloud")).hint("shuffle_hash")
-    rows = docs.join(members, F.col("doc_id") == F.col("__node")).select("doc_id", "cloud", "t")
-    return rows.mapInArrow(cut, "doc_id long, cloud long, shingles binary").dropDuplicates(["doc_id"])
+def _connected(rows: DataFrame, within, kind) -> DataFrame:
+    """(node, component) of the links that ``kind`` finds between rows of one group.
 
+    ``rows``: grp, blocks (how many the group needs), doc_id, n, payload.  Blocks
+    of a group are connected within first.  In groups of several blocks the least
+    rows of the parts found are then connected, and at last the rows outside the
+    largest part of a group, in chunks of a block's size, meet all of its rows of
+    other parts, block by block.
+    """
+    own = F.pmod(F.xxhash64("doc_id", "payload"), F.col("blocks")).cast("int")
+    links = _dealt(rows.withColumn("cell", F.when(F.col("blocks") > 1, F.xxhash64("grp", own)).otherwise(F.col("grp"))).select("cell", "doc_id", "n", "payload"), within)
+    parts = components(links)
+    large = rows.filter("blocks > 1")
+    if large.isEmpty():
+        return parts
+    large, parts = staged(large, "large"), staged(parts, "parts")
+    labelled = lambda: large.join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
+    every = lambda: parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    heads = labelled().groupBy("grp", "label").agg(F.min_by(F.struct("blocks", "doc_id", "n", "payload"), F.struct("doc_id", "payload")).alias("x")).select("grp", "label", "x.*")
+    heads = heads.join(heads.groupBy(F.col("grp").alias("g")).agg(F.count(F.lit(1)).alias("heads"), F.max("blocks").alias("most")), F.col("grp") == F.col("g"))
+    least = F.least(F.col("most"), F.ceil(F.col("heads") / LIST)).cast("int")
+    cell = F.xxhash64("grp", F.pmod(F.xxhash64("doc_id", "payload"), least).cast("int"))
+    parts = staged(components(every().unionByName(_dealt(heads.withColumn("cell", cell).select("cell", "doc_id", "n", "payload"), within))), "parts")
+
+    sizes = labelled().groupBy("grp", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy(F.col("grp").alias("g")).agg(F.max_by("label", F.struct("k", "label")).alias("main"), (F.sum("k") - F.max("k")).alias("rest"), F.sum("k").alias("all")).filter("rest > 0")
+    main = main.withColumn("chunks", F.col("rest") * 1.0 / F.col("all"))
+    split = labelled().join(main, F.col("grp") == F.col("g")).withColumn("own", own).withColumn("chunks", F.ceil(F.col("chunks") * F.col("blocks")).cast("int"))
+    span = lambda n: F.sequence(F.lit(0), F.col(n).cast("int") - 1)
+    others = split.withColumn("chunk", F.explode(span("chunks"))).withColumn("few", F.lit(False))
+    few = split.filter("label <> main").withColumn("chunk", F.pmod(F.xxhash64("payload", "doc_id"), F.col("chunks")).cast("int")).withColumn("own", F.explode(span("blocks"))).withColumn("few", F.lit(True))
+    met = others.unionByName(few).withColumn("cell", F.xxhash64("grp", "own", "chunk"))
+    return components(every().unionByName(_dealt(met.select(*_GROUPED, "few"), _apart(kind))))
+
+
+def _lists(reps: DataFrame) -> DataFrame:
+    """grp, blocks, doc_id, n, payload: the classes under the keys of their prefixes."""
+    posted = reps.select("doc_id", "cls", F.explode("keys").alias("key"))
+    total = reps.count() * COORDINATES
+    shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    held = join_classes(posted, shared, "key", "times", total, how="inner")
+    ordered = held.groupBy("doc_id", "cls").agg(F.array_sort(F.collect_set(F.struct("times", "key"))).alias("keys")).filter(F.size("keys") >= MATCHES)
+    prefix = ordered.select(F.col("doc_id").alias("d"), F.col("cls").alias("c"), F.explode(F.slice("keys", F.lit(1), F.size("keys") - MATCHES + 1)).alias("x"))
+    rows = reps.select("doc_id", "cls", "n", F.col("sig").alias("payload")).join(prefix, (F.col("doc_id") == F.col("d")) & (F.col("cls") == F.col("c")))
+    return rows.select(F.col("x.key").alias("grp"), F.ceil(F.col("x.times") / LIST).cast("int").alias("blocks"), "doc_id", "n", "payload")
 
-def _unpack(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
-    wide[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
-    return wide.reshape(-1).view(np.uint64)
 
+def _sets(docs: DataFrame, clouds: DataFrame) -> DataFrame:
+    """grp, blocks, doc_id, n, payload: the full sets of the documents in a cloud."""
 
-def _confirm(batches):
-    """Links within each cell, as a forest: from every class to the least one that exact links connect it with."""
-    for table in _runs(batches, "cell"):
-        cell, ids = table.column("cell").to_numpy(), table.column("doc_id").to_numpy()
-        sets = [_unpack(x) for x in table.column("shingles").to_pylist()]
-        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        a, b = [], []
-        for s, e in zip(starts.tolist(), np.append(starts[1:], len(cell)).tolist()):
-            if e - s > 1:
-                label = _exact(sets[s:e])
-                moved = np.flatnonzero(label != np.arange(e - s))
-                a += ids[s + moved].tolist()
-                b += ids[s + label[moved]].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def _exact(sets: list[np.ndarray]) -> np.ndarray:
-    """Labels of sets connected over links.  Only shingles of two sets or more count in intersections."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    names, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    shared = np.bincount(column, minlength=len(names)) > 1
-    held = shared[column]
-    row, column = row[held], (np.cumsum(shared) - 1)[column[held]]
-    width = int(shared.sum())
-    dense = []
-    for lo in range(0, width if len(sets) * width <= 40_000_000 else 0, 8192):
-        hi = min(width, lo + 8192)
-        x = np.zeros((len(sets), hi - lo), np.float32)
-        pick = (column >= lo) & (column < hi)
-        x[row[pick], column[pick] - lo] = 1
-        dense.append(x)
-    cuts = np.searchsorted(row, np.arange(len(sets) + 1))
-
-    def linked(front, unseen):
-        both = np.zeros((len(front), len(unseen)), np.float64)
-        if dense:
-            for x in dense:
-                both += x[front] @ x[unseen].T
-        else:  # wide clouds: count by the front's shingles
-            mark = np.zeros(width, bool)
-            for k, i in enumerate(front):
-                mark[:] = False
-                mark[column[cuts[i] : cuts[i + 1]]] = True
-                sums = np.concatenate([[0], np.cumsum(mark[column])])
-                both[k] = sums[cuts[unseen + 1]] - sums[cuts[unseen]]
-        every = sizes[front, None] + sizes[None, unseen] - both
-        return (DENOMINATOR * both >= NUMERATOR * every).any(0)
+    def cut(batches):
+        seen = set()  # repeated rows of an id that came to this task
+        for (ids, grp, blocks), texts in text_chunks(batches, ["doc_id", "grp", "blocks"], limit=500_000):
+            rows = []
+            for row in zip(grp, blocks, ids, shingle_sets(texts)):
+                if (name := (row[2], _digest(row[3]))) not in seen and len(row[3]):
+                    seen.add(name)
+                    rows.append((*row[:3], len(row[3]), row[3].tobytes()))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["grp", "blocks", "doc_id", "n", "payload"])
 
-    return _spread(len(sets), linked)
+    members = clouds.select(F.col("node").alias("__node"), F.col("component").alias("grp"), "blocks").hint("shuffle_hash")
+    return docs.join(members, F.col("doc_id") == F.col("__node")).select("doc_id", "grp", "blocks", "t").mapInArrow(cut, "grp long, blocks int, doc_id long, n long, payload binary")
 
 
-def confirmed(docs: DataFrame, clouds: DataFrame) -> DataFrame:
-    """Exact links (a, b) within ``clouds`` (node, component); every set goes once to its cloud, or to the pairs of its block in a large one."""
-    large = staged(clouds.groupBy("component").count().filter(F.col("count") > CLOUD).select(F.col("component").alias("large"), F.ceil(F.col("count") / (CLOUD / 2)).alias("blocks")), "large")
-    sets = _sets(docs, clouds).withColumn("cell", F.col("cloud"))
-    if not large.isEmpty():
-        sets = staged(sets, "sets")
-        small = sets.join(large, F.col("cloud") == F.col("large"), "left_anti")
-        sets = small.unionByName(_blocks(sets.join(large, F.col("cloud") == F.col("large")), "cell", F.col("blocks")).select(*sets.columns))
-    return sets.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_confirm, "a long, b long")
+def _sized(clouds: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``clouds`` (node, component) with the blocks that each is cut into."""
+    weight = F.greatest(F.count(F.lit(1)) / CLOUD, F.sum("size") / CLOUD_SHINGLES)
+    weighed = clouds.join(sizes, F.col("node") == F.col("of")).groupBy(F.col("component").alias("__cloud")).agg(F.ceil(weight).cast("int").alias("blocks"))
+    return clouds.join(weighed, F.col("component") == F.col("__cloud")).drop("__cloud")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -286,21 +350,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     than SHINGLE words is one shingle.  Null texts and texts without words have
     no shingles and are linked with nothing.  ``component_id`` is the smallest
     id reachable over links, exact copies included; ``kept`` is whether that is
-    the row's own.  Rows of one id are one document for links; a null id links
-    with nothing but its exact copies; an empty table gives no rows; further
-    columns are ignored.
+    the row's own.  Rows of one id are one document with several texts, and the
+    links of each count; a null id links with nothing but its exact copies; an
+    empty table gives no rows; further columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     signed = staged(rows.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, keys array<long>, sig binary"), "signed")
-    classes = staged(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    members = staged(signed.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    least = signed.filter("digest is not null").join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
-    reps = least.select("doc_id", F.col("n_shingles").alias("n"), "keys", "sig").dropDuplicates(["doc_id"])
-
-    lists = _postings(reps).repartition("key").sortWithinPartitions("key", "doc_id")
-    clouds = staged(components(lists.mapInArrow(_gather, "a long, b long")), "clouds")
-    parts = components(confirmed(rows, clouds))
-    out = members.join(parts, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    total = signed.count()
+    classes = staged(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    least = signed.join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
+    reps = staged(least.select("doc_id", F.xxhash64("digest").alias("cls"), F.col("n_shingles").alias("n"), "keys", "sig"), "reps")
+    clouds = staged(_connected(_lists(reps), _gather, Signatures), "clouds")
+    sizes = reps.groupBy(F.col("doc_id").alias("of")).agg(F.sum("n").alias("size"))
+    linked = _connected(_sets(rows, staged(_sized(clouds, sizes), "sized")), _confirm, Sets)
+    members = staged(join_classes(signed.select("doc_id", "n_shingles", "digest"), classes, "digest", "copies", total).select("doc_id", "n_shingles", "rep"), "members")
+    twice = members.groupBy(F.col("doc_id").alias("d")).agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("d is not null and lo < hi")
+    if not twice.isEmpty():  # ids with several texts
+        more = members.join(twice, F.col("doc_id") == F.col("d")).select(F.col("rep").alias("a"), F.col("lo").alias("b"))
+        linked = components(more.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    ends = classes.filter("rep is not null").groupBy("rep").agg(F.sum("copies").alias("copies")).join(linked, F.col("rep") == F.col("node"), "left").select("rep", "copies", "component")
+    out = join_classes(members, ends, "rep", "copies", total)
+    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -1,261 +1,333 @@
 """Substring dedup with repeated-phrase automata.
 
-Documents are dealt by blocks of ids, and one exchange of the texts serves three
+Documents are dealt by blocks of ids, and one exchange of the texts serves all
 passes.  (1) Every window of words is named by its anchor, the least hash of the
 short phrases in it, so equal windows have equal anchors; blocks report the
-anchors they hold, and anchors of two or more documents are recurring.
-(2) Blocks send the passages around recurring anchors, equal ones once, to the
-anchor's shard.  There recurring windows are confirmed word by word, the shard's
-Aho-Corasick automaton is compiled from them, and all passages are streamed
-through it to locate every occurrence.  (3) Blocks cut what was located.
-Anchors of very many blocks are dealt by whole windows instead, which splits
-the contexts of a common phrase.
+anchors they hold, and only those of two or more documents go on.  (2) Blocks
+report their windows with such anchors by 96-bit hashes, which confirms the
+recurring ones and their owners: the least document of each.  (3) Owners cut
+maximal runs of confirmed windows out as passages, and blocks ask for those of
+the owners they share windows with.  (4) Each block compiles Aho-Corasick
+automata from the passages it is sent, in shards of bounded size, streams its
+whole documents through them, and removes what they locate.  The automata
+compare words, so a hash can't remove anything by itself.
+
+Every message holds a window at most once for a block, however often it occurs,
+and passages that very many blocks ask for are dealt in as many copies as keep
+one copy's readers under READERS.
 """
 
 from __future__ import annotations
 
-import struct
-from array import array
-
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.llm.common import WordHashes, rolling, word_hashes
+from lanewright.llm.common import rolling, span_hashes, word_spans
 
 PHRASE = 5
 BLOCK_BITS = 7
 IDS_PER_BLOCK = 1 << BLOCK_BITS
 #: Documents whose anchors meet in one bucket, on average, and the least number of buckets.
 DOCS_PER_BUCKET, BUCKETS = 1000, 256
-#: An anchor of more blocks than this is dealt by whole windows.
-COMMON_BLOCKS = 2000
-#: Passages that one automaton is compiled from, or all of an anchor.
-SHARD_PASSAGES = 20_000
-#: A place of a passage: row in its block, id in its block, first word.
-_AT = "<IBI"
-_memo = WordHashes()
+#: Bits of the word numbers in one region of a document; owners are asked for passages by region.
+REGION_BITS = 9
+#: Blocks that read one copy of a passage, about; a more popular one is dealt in more copies.
+READERS = 256
+#: Windows that one automaton is compiled from.
+SHARD_WINDOWS = 50_000
+#: Words that two letters can stand for; a shard of more distinct words takes three.
+TWO_LETTERS = 1 << 16
+
+_BUCKETED = "bucket long, blk long, h1 binary, h2 binary, lo binary, hi binary, region binary"
+_TOLD = "blk long, owners binary, regions binary, wanted binary, own binary, levels binary"
+_DEALT = "owner long, region int, level int, salt int, blk long, words binary"
 
 
 def _block(table: pa.Table):
     """(ids, texts) of a block in a fixed order."""
     ids, texts = table.column("doc_id").to_pylist(), [t or b"" for t in table.column("t").cast("binary").to_pylist()]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
 def _anchors(texts: list[bytes], window: int):
-    """(words, row of each window, place of its first word in words, place in its row, anchor, hash)."""
-    split = [t.split() for t in texts]
-    words = [w for s in split for w in s]
-    counts = np.array([len(s) for s in split], np.int64)
+    """(spans, hashes of the words, row of each window, its first word, place of that in its row, anchor)."""
+    spans = word_spans(texts)
+    h = span_hashes(spans)
     phrase = min(PHRASE, window)
-    h = word_hashes(words, _memo)
     least, span = rolling(h, phrase), 1
     need = window - phrase + 1
     while span < need:
         step = min(span, need - span)
         least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
         span += step
-    starts = np.cumsum(counts) - counts
-    at = np.arange(len(least))
-    row = np.searchsorted(starts, at, side="right") - 1
-    ok = at + window <= (starts + counts)[row] if len(at) else np.zeros(0, bool)
-    at, row = at[ok], row[ok]
-    return words, row, at, at - starts[row], least[at], lambda: rolling(h, window)[at]
+    starts = np.cumsum(spans.counts) - spans.counts
+    row = np.repeat(np.arange(len(texts)), spans.counts)[: len(least)]
+    at = np.flatnonzero(np.arange(len(least)) + window <= (starts + spans.counts)[row]) if len(least) else np.zeros(0, np.int64)
+    row = row[at]
+    return spans, h, row, at, at - starts[row], least[at]
+
+
+def _cuts(keys: np.ndarray):
+    """Starts and ends of the runs of equal keys."""
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return starts, np.append(starts[1:], len(keys)).astype(np.int64)
+
+
+def _raw(values: np.ndarray, starts, ends) -> pa.Array:
+    return pa.array([values[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())
+
+
+def _joined(table: pa.Table, column: str, dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), dtype)
 
 
 def _report(window: int, buckets: int):
+    """The distinct anchors of a block by bucket, with whether several of its documents hold them."""
+
     def report(table: pa.Table) -> pa.Table:
         blk = table.column("blk")[0].as_py()
         ids, texts = _block(table)
-        _, row, _, _, anchor, _ = _anchors(texts, window)
-        names, inverse = np.unique(anchor, return_inverse=True)
-        docs = np.array([(i - blk * IDS_PER_BLOCK) for i in ids], np.int64)[row]
-        lo, hi = np.full(len(names), 1 << 30), np.full(len(names), -1)
-        np.minimum.at(lo, inverse, docs)
-        np.maximum.at(hi, inverse, docs)
+        _, _, row, _, _, anchor = _anchors(texts, window)
+        docs = np.array([i - blk * IDS_PER_BLOCK for i in ids], np.uint8)[row]
+        new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (docs[1:] != docs[:-1])])) if len(anchor) else np.zeros(0, np.int64)
+        anchor, docs = anchor[new], docs[new]
+        order = np.lexsort((anchor, anchor % np.uint64(buckets)))
+        anchor, docs = anchor[order], docs[order]
+        starts, _ = _cuts(anchor)
+        many = np.minimum.reduceat(docs, starts) < np.maximum.reduceat(docs, starts) if len(starts) else np.zeros(0, bool)
+        names = anchor[starts]
         bucket = (names % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket, names, many = bucket[order], names[order], (lo < hi)[order]
-        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
-        ends = np.append(cuts[1:], len(bucket))
-        return pa.table({
-            "bucket": pa.array(bucket[cuts], pa.int64()), "blk": pa.array([blk] * len(cuts), pa.int64()),
-            "names": pa.array([names[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()), "many": pa.array([many[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-        })
+        a, b = _cuts(bucket)
+        return pa.table({"bucket": pa.array(bucket[a], pa.int64()), "blk": pa.array([blk] * len(a), pa.int64()), "names": _raw(names, a, b), "many": _raw(many, a, b)})
 
     return report
 
 
 def _recurring(table: pa.Table) -> pa.Table:
-    """Of one bucket: for each block its anchors that several documents hold, and those of very many blocks."""
+    """Of one bucket: for each block its anchors that several documents hold."""
     blks, raw = table.column("blk").to_numpy(), table.column("names").to_pylist()
-    names = np.frombuffer(b"".join(raw), np.uint64)
-    many = np.frombuffer(b"".join(table.column("many").to_pylist()), bool)
+    names, many = _joined(table, "names", np.uint64), _joined(table, "many", bool)
     place = np.repeat(np.arange(len(blks)), [len(r) // 8 for r in raw])
-    distinct, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
-    some = np.zeros(len(distinct), bool)
-    some[inverse[many]] = True
-    keep = (counts > 1)[inverse] | some[inverse]
-    common = keep & (counts > COMMON_BLOCKS)[inverse]
-    out = [[], [], []]
-    for flags, is_common in ((keep & ~common, False), (common, True)):
-        at, held = place[flags], names[flags]
-        if len(at):
-            cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            for a, b in zip(cuts, np.append(cuts[1:], len(at))):
-                out[0].append(int(blks[at[a]]))
-                out[1].append(held[a:b].tobytes())
-                out[2].append(is_common)
-    return pa.table({"blk": pa.array(out[0], pa.int64()), "names": pa.array(out[1], pa.binary()), "common": pa.array(out[2], pa.bool_())})
+    _, inverse, counts = np.unique(names, return_inverse=True, return_counts=True)
+    some = np.bincount(inverse, weights=many, minlength=len(counts)) > 0
+    keep = ((counts > 1) | some)[inverse]
+    place, names = place[keep], names[keep]
+    a, b = _cuts(place)
+    return pa.table({"blk": pa.array(blks[place[a]], pa.int64()), "names": _raw(names, a, b)})
 
 
-def _passages(window: int):
-    def passages(table: pa.Table, replies: pa.Table) -> pa.Table:
-        out: dict[tuple[int, bytes], bytearray] = {}
-        firsts, blk = [], 0
+def _hashes(h: np.ndarray, at: np.ndarray, window: int):
+    """96 bits of each window, as 64 and 32."""
+    return rolling(h, window)[at], (rolling(h, window, base=0x8CB92BA72F3D8DD7)[at] >> np.uint64(32)).astype(np.uint32)
+
+
+def _windows(window: int, buckets: int):
+    """The distinct windows of a block whose anchors recur, by bucket: hashes, first and last document, region of the first."""
+
+    def windows(table: pa.Table, replies: pa.Table) -> pa.Table:
+        empty = np.zeros(0, np.int64)
+        a = b = bucket = empty
+        h1, h2, lo, hi, region, blk = (empty,) * 5 + (0,)
         if table.num_rows and replies.num_rows:
             blk = table.column("blk")[0].as_py()
             ids, texts = _block(table)
-            words, row, at, place_of, anchor, hashes = _anchors(texts, window)
-            known = {c: np.sort(np.frombuffer(b"".join(n for n, k in zip(replies.column("names").to_pylist(), replies.column("common").to_pylist()) if k == c), np.uint64)) for c in (False, True)}
-            within = lambda names: names[np.minimum(np.searchsorted(names, anchor), len(names) - 1)] == anchor if len(names) else np.zeros(len(anchor), bool)
-            docs = [i - blk * IDS_PER_BLOCK for i in ids]
-
-            def add(key, k, start):
-                held = out.get(key)
-                if held is None:  # texts go by id, so the first place has the least
-                    held = out[key] = bytearray()
-                    firsts.append(blk * IDS_PER_BLOCK + docs[k])
-                held += struct.pack(_AT, k, docs[k], start)
-
-            runs = np.flatnonzero(within(known[False]))
-            if len(runs):
-                new = np.concatenate([[True], (np.diff(runs) != 1) | (row[runs[1:]] != row[runs[:-1]]) | (anchor[runs[1:]] != anchor[runs[:-1]])])
-                first, last = runs[new], runs[np.append(np.flatnonzero(new)[1:] - 1, len(runs) - 1)]
-                here, of, place = at[first].tolist(), row[first].tolist(), place_of[first].tolist()
-                spans = (at[last] + window).tolist()
-                for lo, hi, k, start, name in zip(here, spans, of, place, anchor[first].view(np.int64).tolist()):
-                    add((name, b" ".join(words[lo:hi])), k, start)
-            single = np.flatnonzero(within(known[True]))
-            if len(single):
-                for lo, k, start, name in zip(at[single].tolist(), row[single].tolist(), place_of[single].tolist(), hashes()[single].view(np.int64).tolist()):
-                    add((name, b" ".join(words[lo : lo + window])), k, start)
-        return pa.table({
-            "name": pa.array([k[0] for k in out], pa.int64()), "first": pa.array(firsts, pa.int64()), "blk": pa.array([blk] * len(out), pa.int64()),
-            "passage": pa.array([k[1] for k in out], pa.binary()), "places": pa.array([bytes(v) for v in out.values()], pa.binary()),
-        })
+            _, h, row, at, place, anchor = _anchors(texts, window)
+            known = np.sort(_joined(replies, "names", np.uint64))
+            held = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
+            row, at, place = row[held], at[held], place[held]
+            h1, h2 = _hashes(h, at, window)
+            docs = np.array([i - blk * IDS_PER_BLOCK for i in ids], np.uint8)[row]
+            bucket = (h1 % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((h2, h1, bucket))  # stable, so places stay in order
+            h1, h2, docs, region, bucket = h1[order], h2[order], docs[order], (place[order] >> REGION_BITS).astype(np.uint32), bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])) if len(h1) else empty
+            lo, hi = docs[first], np.maximum.reduceat(docs, first) if len(first) else docs
+            h1, h2, region, bucket = h1[first], h2[first], region[first], bucket[first]
+            a, b = _cuts(bucket)
+        columns = (h1.astype(np.uint64), h2.astype(np.uint32), lo.astype(np.uint8), hi.astype(np.uint8), region.astype(np.uint32))
+        return pa.table({"bucket": pa.array(bucket[a], pa.int64()), "blk": pa.array([blk] * len(a), pa.int64())} | {n: _raw(c, a, b) for n, c in zip(("h1", "h2", "lo", "hi", "region"), columns)})
+
+    return windows
+
+
+def _confirmed(readers: int):
+    """Of one bucket: whom each block has to ask for passages, and which windows of its own are asked for."""
+
+    def confirmed(table: pa.Table) -> pa.Table:
+        blks, sizes = table.column("blk").to_numpy(), [len(r) for r in table.column("lo").to_pylist()]
+        h1, h2, region = _joined(table, "h1", np.uint64), _joined(table, "h2", np.uint32), _joined(table, "region", np.uint32)
+        place = np.repeat(np.arange(len(blks)), sizes)
+        lo, hi = (blks[place] * IDS_PER_BLOCK + _joined(table, c, np.uint8) for c in ("lo", "hi"))
+        order = np.lexsort((lo, h2, h1))
+        first = np.flatnonzero(np.concatenate([[True], (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])])) if len(order) else np.zeros(0, np.int64)
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        least, most = lo[order[first]], np.maximum.reduceat(hi[order], first) if len(first) else hi
+        level = np.ceil(np.log2(np.maximum(1.0, np.diff(np.append(first, len(order))) / readers))).astype(np.uint8)
+        asks = hi[order] > least[group]
+        out = {}
+        # what blocks want: (owner, region, level), once each
+        wants = order[asks]
+        keys = np.stack([place[wants], least[group[asks]], region[order[first]][group[asks]].astype(np.int64), level[group[asks]].astype(np.int64)], axis=1)
+        for p, *key in np.unique(keys, axis=0).tolist():
+            out.setdefault(p, ([], [], [], [], []))
+            for column, x in zip(out[p], key):
+                column.append(x)
+        owns = order[first[most > least]]
+        for p, name, k in zip(place[owns].tolist(), h1[owns].tolist(), level[most > least].tolist()):
+            held = out.setdefault(p, ([], [], [], [], []))
+            held[3].append(name)
+            held[4].append(k)
+        raw = lambda i, dtype: pa.array([np.array(v[i], dtype).tobytes() for v in out.values()], pa.binary())
+        return pa.table({"blk": pa.array(blks[list(out)], pa.int64()), "owners": raw(0, np.int64), "regions": raw(1, np.uint32), "wanted": raw(2, np.uint8), "own": raw(3, np.uint64), "levels": raw(4, np.uint8)})
+
+    return confirmed
+
+
+def _passages(window: int):
+    """Passages of the block's own confirmed windows (blk null), and its requests for those of others (no words)."""
+
+    def passages(table: pa.Table, told: pa.Table) -> pa.Table:
+        owner, region, level, salt, blks, words = [], [], [], [], [], []
+        if table.num_rows and told.num_rows:
+            blk = table.column("blk")[0].as_py()
+            wants = np.unique(np.stack([_joined(told, "owners", np.int64), _joined(told, "regions", np.uint32).astype(np.int64), _joined(told, "wanted", np.uint8).astype(np.int64)], axis=1), axis=0)
+            for o, r, k in wants.tolist():
+                for column, x in zip((owner, region, level, salt, blks, words), (o, r, k, blk % (1 << k), blk, None)):
+                    column.append(x)
+            own, levels = _joined(told, "own", np.uint64), _joined(told, "levels", np.uint8)
+            if len(own):
+                order = np.argsort(own)
+                own, levels = own[order], levels[order]
+                ids, texts = _block(table)
+                spans, h, row, at, place, _ = _anchors(texts, window)
+                name = rolling(h, window)[at]
+                where = np.minimum(np.searchsorted(own, name), len(own) - 1)
+                held = np.flatnonzero(own[where] == name)
+                held = held[np.unique(name[held], return_index=True)[1]]  # the first place of each
+                held.sort()
+                part, deal = place[held] >> REGION_BITS, levels[where[held]]
+                new = np.concatenate([[True], (np.diff(at[held]) != 1) | (np.diff(row[held]) != 0) | (np.diff(part) != 0) | (np.diff(deal.astype(np.int64)) != 0)]) if len(held) else np.zeros(0, bool)
+                a = np.flatnonzero(new)
+                b = np.append(a[1:], len(held)) - 1
+                raw = spans.buf.tobytes()
+                for i, j in zip(a.tolist(), b.tolist()):
+                    lo, hi = at[held[i]], at[held[j]] + window
+                    text = b" ".join(raw[spans.starts[lo] : spans.ends[hi - 1]].split())
+                    for s in range(1 << int(deal[i])):
+                        for column, x in zip((owner, region, level, salt, blks, words), (ids[row[held[i]]], int(part[i]), int(deal[i]), s, None, text)):
+                            column.append(x)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("owner", "region", "level", "salt", "blk", "words"), (owner, region, level, salt, blks, words), kinds)})
 
     return passages
 
 
-def _locate(window: int):
-    """Rows sorted by (name, first): the word ranges to cut, by block."""
-
-    def letters_of(passage: bytes, codes: dict[bytes, str]) -> str:
-        """One character for each distinct word of the shard."""
-        out = []
-        for w in passage.split(b" "):
-            c = codes.get(w)
-            if c is None:
-                n = len(codes) + 1
-                c = codes[w] = chr(n if n < 0xD800 else n + 0x800)
-            out.append(c)
-        return "".join(out)
-
-    def ranges(hits, own):
-        """Joined ranges of words in windows that start in a document before ``own``."""
-        out = []
-        for i, of in hits:
-            if own > of:
-                if out and i <= out[-1][1]:
-                    out[-1][1] = i + window
-                else:
-                    out.append([i, i + window])
-        return out
-
-    def shard(rows, first: dict[str, int], codes: dict[bytes, str]):
-        """Equal passages are confirmed and streamed once, in the order of their least documents."""
-        passages: dict[bytes, list] = {}
-        for low, blk, passage, raw in rows:
-            places = list(struct.iter_unpack(_AT, raw))
-            high = blk * IDS_PER_BLOCK + places[-1][1]  # a block's places go by id
-            held = passages.get(passage)
-            if held is None:
-                passages[passage] = [low, high, [(blk, places)]]
-            else:
-                held[1] = max(held[1], high)
-                held[2].append((blk, places))
-        recurring, coded = {}, []
-        for passage, (low, high, places) in passages.items():
-            s = letters_of(passage, codes)
-            coded.append((s, places))
-            for i in range(len(s) - window + 1):
-                w = s[i : i + window]
-                if high > first.setdefault(w, low):
-                    recurring[w] = first[w]
-        cuts: dict[int, array] = {}
-        if not recurring:
-            return cuts
-        automaton = ahocorasick.Automaton()
-        for w, doc in recurring.items():
-            automaton.add_word(w, doc)
-        automaton.make_automaton()
-        for s, places in coded:
-            hits = [(end - window + 1, doc) for end, doc in automaton.iter(s)]
-            if not hits:
+def _delivered(batches):
+    """Rows sorted by key, passages first: each passage once for every block that asks."""
+    key, held, out = None, [], ([], [], [])
+    for batch in batches:
+        for o, r, k, s, blk, words in zip(*(batch.column(c).to_pylist() for c in ("owner", "region", "level", "salt", "blk", "words"))):
+            if (o, r, k, s) != key:
+                key, held = (o, r, k, s), []
+            if blk is None:
+                held.append(words)
                 continue
-            least, most = min(h[1] for h in hits), max(h[1] for h in hits)
-            every = ranges(hits, most + 1)
-            for blk, at in places:
-                for row, doc, start in at:
-                    own = blk * IDS_PER_BLOCK + doc
-                    if own > least:
-                        for lo, hi in every if own > most else ranges(hits, own):
-                            cuts.setdefault(blk, array("I")).extend((row, start + lo, start + hi))
-        return cuts
-
-    def batch_of(cuts):
-        return pa.RecordBatch.from_arrays([pa.array(list(cuts), pa.int64()), pa.array([v.tobytes() for v in cuts.values()], pa.binary())], names=["blk", "cuts"])
-
-    def locate(batches):
-        rows, first, codes, last = [], {}, {}, None
-        for batch in batches:
-            for name, low, blk, passage, raw in zip(*(batch.column(c).to_pylist() for c in ("name", "first", "blk", "passage", "places"))):
-                if len(rows) >= SHARD_PASSAGES and (name != last or len(rows) >= 4 * SHARD_PASSAGES):
-                    yield batch_of(shard(rows, first, codes))
-                    if name != last:  # windows of one name may go on in the next shard
-                        first, codes = {}, {}
-                    rows = []
-                rows.append((low, blk, passage, raw))
-                last = name
-        if rows:
-            yield batch_of(shard(rows, first, codes))
-
-    return locate
-
-
-def _cut(table: pa.Table, cuts: pa.Table) -> pa.Table:
-    ids, texts = _block(table) if table.num_rows else ([], [])
-    ranges = np.frombuffer(b"".join(cuts.column("cuts").to_pylist()), np.uint32).reshape(-1, 3)
-    ranges = ranges[np.argsort(ranges[:, 0], kind="stable")]
-    ends = np.searchsorted(ranges[:, 0], np.arange(len(ids) + 1))
-    totals, removed, kept = [], [], []
-    for k, text in enumerate(texts):
-        words = text.split()
-        gone = np.zeros(len(words), bool)
-        for _, lo, hi in ranges[ends[k] : ends[k + 1]].tolist():
-            gone[lo:hi] = True
-        totals.append(len(words))
-        removed.append(int(gone.sum()))
-        kept.append(b" ".join(w for w, g in zip(words, gone) if not g) if removed[-1] else b" ".join(words))
-    return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(totals, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
-
-
-def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+            for passage in held:
+                for column, x in zip(out, (blk, o, passage)):
+                    column.append(x)
+            if len(out[0]) >= 2000:
+                yield _delivery(out)
+                out = ([], [], [])
+    if out[0]:
+        yield _delivery(out)
+
+
+def _delivery(out):
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.binary()))], names=["blk", "owner", "words"])
+
+
+class Letters(dict):
+    """Two or three letters for every word of a shard; those of the first place stand in no other."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__()
+        self.width = 2 if len(words) <= TWO_LETTERS else 3
+        base = 1
+        while base**self.width < len(words):
+            base += 1
+        firsts, rest = [chr(0x100 + i) for i in range(base)], [chr(0x1000 + i) for i in range(base)]
+        for n, w in enumerate(words):
+            self[w] = firsts[n % base] + rest[n // base % base] + (rest[n // base**2] if self.width == 3 else "")
+        self.other = "\0" * self.width
+
+    def spell(self, words: list[bytes]) -> str:
+        get, other = self.get, self.other
+        return "".join([get(w, other) for w in words])
+
+
+def _shards(passages: list[tuple[int, list[bytes]]], window: int, limit: int):
+    """(letters, automaton) of each shard of passages; an automaton holds ``limit`` windows or a bit more."""
+    held, size = [], 0
+    for k, (owner, words) in enumerate(passages):
+        for a in range(0, len(words) - window + 1, limit):  # a long passage is cut between windows
+            part = words[a : a + limit + window - 1]
+            held.append((owner, part))
+            size += len(part) - window + 1
+            if size >= limit:
+                yield _compiled(held, window)
+                held, size = [], 0
+    if held:
+        yield _compiled(held, window)
+
+
+def _compiled(held, window: int):
+    letters = Letters(list(dict.fromkeys(w for _, words in held for w in words)))
+    automaton, step = ahocorasick.Automaton(), letters.width
+    for owner, words in held:
+        spelled = letters.spell(words)
+        for i in range(0, (len(words) - window + 1) * step, step):
+            automaton.add_word(spelled[i : i + window * step], owner)
+    automaton.make_automaton()
+    return letters, automaton
+
+
+def _located(window: int, limit: int):
+    """The rows of a block without the words that its automata locate."""
+
+    def located(table: pa.Table, passages: pa.Table) -> pa.Table:
+        ids, texts = _block(table) if table.num_rows else ([], [])
+        gone: dict[int, np.ndarray] = {}
+        split = [t.split() for t in texts]
+        sent = sorted(zip(passages.column("owner").to_pylist(), (p.split(b" ") for p in passages.column("words").to_pylist())))
+        for letters, automaton in _shards(sent, window, limit):
+            for k, words in enumerate(split):
+                if len(words) < window:
+                    continue
+                hits = list(automaton.iter(letters.spell(words)))
+                if hits:
+                    ends, owners = np.array(hits, np.int64).T
+                    ends = ends[owners < ids[k]] // letters.width
+                    if len(ends):
+                        turns = gone.setdefault(k, np.zeros(len(words) + 1, np.int64))
+                        np.add.at(turns, ends - window + 1, 1)
+                        np.add.at(turns, ends + 1, -1)
+        totals, removed, kept = list(map(len, split)), [0] * len(ids), []
+        for k, words in enumerate(split):
+            if k in gone:
+                covered = np.cumsum(gone[k][:-1]) > 0
+                removed[k] = int(covered.sum())
+                words = [w for w, x in zip(words, covered.tolist()) if not x]
+            kept.append(b" ".join(words))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(totals, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+
+    return located
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", text: str = "text", readers: int = READERS, shard_windows: int = SHARD_WINDOWS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text for every row.
 
     Words are cut at ASCII white space and stay as they are.  Each word covered
@@ -263,15 +335,19 @@ def remove_repeats(docs: DataFrame, window: int = 13, doc_id: str = "doc_id", te
     id is removed; the rest is joined by single spaces.  Null texts have no
     words; rows of one id don't remove each other's words; a row with a null id
     neither loses nor removes words; an empty table gives no rows; further
-    columns are ignored.
+    columns are ignored.  ``readers`` and ``shard_windows`` (READERS,
+    SHARD_WINDOWS) bound tasks and memory and don't change the result.
     """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    rows = named.filter("doc_id is not null").select(F.shiftright("doc_id", BLOCK_BITS).alias("blk"), "doc_id", "t")
+    rows = named.filter("doc_id is not null").select(F.shiftright("doc_id", BLOCK_BITS).alias("blk"), "doc_id", "t").groupBy("blk")
     buckets = max(BUCKETS, docs.count() // DOCS_PER_BUCKET)
-    reports = rows.groupBy("blk").applyInArrow(_report(window, buckets), "bucket long, blk long, names binary, many binary")
-    replies = reports.groupBy("bucket").applyInArrow(_recurring, "blk long, names binary, common boolean")
-    passages = rows.groupBy("blk").cogroup(replies.groupBy("blk")).applyInArrow(_passages(window), "name long, first long, blk long, passage binary, places binary")
-    cuts = passages.repartition("name").sortWithinPartitions("name", "first").mapInArrow(_locate(window), "blk long, cuts binary")
-    out = rows.groupBy("blk").cogroup(cuts.groupBy("blk")).applyInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    anchors = rows.applyInArrow(_report(window, buckets), "bucket long, blk long, names binary, many binary")
+    recurring = anchors.groupBy("bucket").applyInArrow(_recurring, "blk long, names binary").groupBy("blk")
+    windows = rows.cogroup(recurring).applyInArrow(_windows(window, buckets), _BUCKETED)
+    told = windows.groupBy("bucket").applyInArrow(_confirmed(readers), _TOLD).groupBy("blk")
+    asked = rows.cogroup(told).applyInArrow(_passages(window), _DEALT)
+    key = ["owner", "region", "level", "salt"]
+    sent = asked.repartition(*key).sortWithinPartitions(*key, F.col("blk").asc_nulls_first()).mapInArrow(_delivered, "blk long, owner long, words binary").groupBy("blk")
+    out = rows.cogroup(sent).applyInArrow(_located(window, shard_windows), "doc_id long, n_words long, n_removed long, kept_text string")
     bare = named.filter("doc_id is null").select("doc_id", F.filter(F.split(F.coalesce("t", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "").alias("w"))
     return out.unionByName(bare.select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join("w", " ").alias("kept_text")))

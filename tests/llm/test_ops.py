@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import same
 from pyspark.sql import functions as F
@@ -257,30 +258,26 @@ def test_repeats_of_few_words_and_hard_rows(spark, monkeypatch):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
-def test_common_anchors_and_small_shards(spark):
-    import pandas as pd
-    import pyarrow as pa
-
+def test_popular_passages_and_small_shards(spark):
     rng = np.random.default_rng(6)
-    rows = [(int(i), " ".join(rng.choice(list("abcdef"), 30))) for i in range(600)]
-    # one process, with anchors of two blocks already common and shards of a few passages
-    blocks = {}
-    for i, t in rows:
-        blocks.setdefault(i >> repeats.BLOCK_BITS, []).append((i, t))
-    tables = {b: pa.table({"blk": [b] * len(v), "doc_id": [x[0] for x in v], "t": [x[1] for x in v]}) for b, v in blocks.items()}
-    held = repeats.COMMON_BLOCKS, repeats.SHARD_PASSAGES
-    try:
-        repeats.COMMON_BLOCKS, repeats.SHARD_PASSAGES = 2, 7
-        reports = pa.concat_tables([repeats._report(6, 3)(t) for t in tables.values()])
-        replies = pa.concat_tables([repeats._recurring(reports.filter(pa.compute.equal(reports["bucket"], k))) for k in range(3)])
-        passages = pa.concat_tables([repeats._passages(6)(t, replies.filter(pa.compute.equal(replies["blk"], b))) for b, t in tables.items()])
-        passages = passages.sort_by([("name", "ascending"), ("first", "ascending")])
-        cuts = pa.Table.from_batches(list(repeats._locate(6)(passages.to_batches())))
-        out = pa.concat_tables([repeats._cut(t, cuts.filter(pa.compute.equal(cuts["blk"], b))) for b, t in tables.items()]).to_pandas()
-    finally:
-        repeats.COMMON_BLOCKS, repeats.SHARD_PASSAGES = held
-    assert isinstance(out, pd.DataFrame)
-    assert Counter(out[["doc_id", "n_words", "n_removed", "kept_text"]].itertuples(index=False, name=None)) == kept_by_hand(rows, 6)
+    popular = " ".join(f"p{k}" for k in range(1500))  # over several regions of an owner
+    rows = [(int(i), " ".join(rng.choice(list("abcdef"), 30)) + (f" {popular} end{i}" if i % 3 == 0 else "")) for i in range(700)]
+    got = repeats.remove_repeats(docs(spark, rows), 6, readers=1, shard_windows=7).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == kept_by_hand(rows, 6)
+
+
+def test_rows_of_one_id_and_very_many_words(spark):
+    rows = [(7, "one two three four five six"), (7, "one two three four five six"), (7, "nought one two three four five six"), (8, "x one two three four five six"), (6, "four five six"), (1 << 62, "one two three four five six"), (-(1 << 62), "three four five")]
+    assert got_repeats(docs(spark, rows), 3) == kept_by_hand(rows, 3)
+
+
+def test_letters_of_over_a_million_words():
+    words = [b"w%d" % i for i in range(1_200_000)]
+    letters = repeats.Letters(words)
+    assert letters.width == 3 and len(set(letters.values())) == len(words)
+    part = words[500_000:500_040]
+    (found, automaton), *more = repeats._shards([(5, part)], 13, 20)
+    assert len(more) == 1 and len(list(automaton.iter(found.spell([b"other", *part, b"other"])))) == 20
 
 
 # -- near duplicates
@@ -349,15 +346,57 @@ def test_near_duplicate_hard_rows(spark):
     assert kept.columns == hard(spark).columns and 6 not in {r.doc_id for r in kept.collect()}
 
 
-def test_exact_labels_of_wide_clouds(monkeypatch):
+@pytest.mark.parametrize("dense", [True, False])
+def test_exact_links_of_sets(dense):
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 30, 20)).astype(np.uint64) for _ in range(40)]
-    want = neardup._exact(sets)
+    matcher = neardup.Sets([s.tobytes() for s in sets])
+    matcher.dense = matcher.dense if dense else []
+    got = matcher.linked(np.arange(40), np.arange(40))
     for i in range(40):
-        for j in range(i):
+        for j in range(40):
             a, b = set(sets[i].tolist()), set(sets[j].tolist())
-            if 100 * len(a & b) >= 75 * len(a | b):
-                assert want[i] == want[j]
+            assert got[i, j] == (100 * len(a & b) >= 75 * len(a | b))
+
+
+def test_rows_of_one_id_with_different_texts_are_one_document(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(10, a), (10, b), (20, a + " more"), (30, b + " more"), (5, b), (40, "something else altogether is written here")]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs(spark, rows[:4])).collect()}
+    assert got == {(10, 10), (20, 10), (30, 10)}
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {(5, 5), (10, 5), (20, 5), (30, 5), (40, 40)}
+
+
+def test_prefixes_and_skips_keep_all_candidates(spark):
+    """Pairs met in the lists of prefixes are all pairs with MATCHES equal coordinates (and like sizes)."""
+    rng = np.random.default_rng(3)
+    base = [[f"w{x}" for x in rng.integers(0, 10**6, 40)] for _ in range(6)]
+    rows = []
+    for i in range(240):
+        w = list(base[i % 6])
+        for k in rng.choice(40, rng.integers(0, 9), replace=False):
+            w[k] = f"e{rng.integers(0, 5)}"
+        rows.append((i, " ".join(w)))
+    signed = list(neardup._sign([pa.RecordBatch.from_pydict({"doc_id": [i for i, _ in rows], "t": [t for _, t in rows]})]))
+    sig = [(r["doc_id"], r["n_shingles"], r["keys"]) for b in signed for r in b.to_pylist()]
+    label = {i: i for i, _, _ in sig}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, n, k in sig:
+        for j, m, q in sig[:i]:
+            if sum(x == y for x, y in zip(k, q)) >= neardup.MATCHES and 100 * min(n, m) >= 75 * max(n, m):
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    frame = spark.createDataFrame(pa.Table.from_batches(signed).to_pandas()).select("doc_id", F.xxhash64("digest").alias("cls"), F.col("n_shingles").alias("n"), "keys", "sig")
+    got = {r.node: r.component for r in neardup._connected(neardup._lists(frame), neardup._gather, neardup.Signatures).collect()}
+    for i, _, _ in sig:
+        for j, _, _ in sig[:i]:
+            if root(i) == root(j):
+                assert got[i] == got[j]
 
 
 # -- quality
