@@ -270,11 +270,12 @@ def _dealt(rows: DataFrame, function) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(function, "a long, b long")
 
 
-def _connected(rows: DataFrame, within, kind) -> DataFrame:
+def _connected(rows: DataFrame, within, kind, any_large: bool) -> DataFrame:
     """(node, component) of the links that ``kind`` finds between rows of one group.
 
-    ``rows``: grp, blocks (how many the group needs), doc_id, n, payload.  Blocks
-    of a group are connected within first.  In groups of several blocks the least
+    ``rows``: grp, blocks (how many the group needs; ``any_large`` says whether
+    any needs several), doc_id, n, payload.  Blocks of a group are connected
+    within first.  In groups of several blocks the least
     rows of the parts found are then connected, and at last the rows outside the
     largest part of a group, in chunks of a block's size, meet all of its rows of
     other parts, block by block.
@@ -282,10 +283,9 @@ def _connected(rows: DataFrame, within, kind) -> DataFrame:
     own = F.pmod(F.xxhash64("doc_id", "payload"), F.col("blocks")).cast("int")
     links = _dealt(rows.withColumn("cell", F.when(F.col("blocks") > 1, F.xxhash64("grp", own)).otherwise(F.col("grp"))).select("cell", "doc_id", "n", "payload"), within)
     parts = components(links)
-    large = rows.filter("blocks > 1")
-    if large.isEmpty():
+    if not any_large:
         return parts
-    large, parts = staged(large, "large"), staged(parts, "parts")
+    large, parts = staged(rows.filter("blocks > 1"), "large"), staged(parts, "parts")
     labelled = lambda: large.join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
     every = lambda: parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
     heads = labelled().groupBy("grp", "label").agg(F.min_by(F.struct("blocks", "doc_id", "n", "payload"), F.struct("doc_id", "payload")).alias("x")).select("grp", "label", "x.*")
@@ -305,12 +305,11 @@ def _connected(rows: DataFrame, within, kind) -> DataFrame:
     return components(every().unionByName(_dealt(met.select(*_GROUPED, "few"), _apart(kind))))
 
 
-def _lists(reps: DataFrame) -> DataFrame:
+def _lists(reps: DataFrame, total: int) -> DataFrame:
     """grp, blocks, doc_id, n, payload: the classes under the keys of their prefixes."""
     posted = reps.select("doc_id", "cls", F.explode("keys").alias("key"))
-    total = reps.count() * COORDINATES
     shared = posted.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    held = join_classes(posted, shared, "key", "times", total, how="inner")
+    held = join_classes(posted, shared, "key", "times", total * COORDINATES, how="inner")
     ordered = held.groupBy("doc_id", "cls").agg(F.array_sort(F.collect_set(F.struct("times", "key"))).alias("keys")).filter(F.size("keys") >= MATCHES)
     prefix = ordered.select(F.col("doc_id").alias("d"), F.col("cls").alias("c"), F.explode(F.slice("keys", F.lit(1), F.size("keys") - MATCHES + 1)).alias("x"))
     rows = reps.select("doc_id", "cls", "n", F.col("sig").alias("payload")).join(prefix, (F.col("doc_id") == F.col("d")) & (F.col("cls") == F.col("c")))
@@ -360,9 +359,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = staged(signed.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     least = signed.join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
     reps = staged(least.select("doc_id", F.xxhash64("digest").alias("cls"), F.col("n_shingles").alias("n"), "keys", "sig"), "reps")
-    clouds = staged(_connected(_lists(reps), _gather, Signatures), "clouds")
+    lists = staged(_lists(reps, total), "lists")
+    clouds = staged(_connected(lists, _gather, Signatures, not lists.filter("blocks > 1").isEmpty()), "clouds")
     sizes = reps.groupBy(F.col("doc_id").alias("of")).agg(F.sum("n").alias("size"))
-    linked = _connected(_sets(rows, staged(_sized(clouds, sizes), "sized")), _confirm, Sets)
+    clouds = staged(_sized(clouds, sizes), "sized")
+    linked = _connected(_sets(rows, clouds), _confirm, Sets, not clouds.filter("blocks > 1").isEmpty())
     members = staged(join_classes(signed.select("doc_id", "n_shingles", "digest"), classes, "digest", "copies", total).select("doc_id", "n_shingles", "rep"), "members")
     twice = members.groupBy(F.col("doc_id").alias("d")).agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("d is not null and lo < hi")
     if not twice.isEmpty():  # ids with several texts
