@@ -14,27 +14,33 @@ word with no placeholder at all, which finds copies of what is mostly numbers.
 
 from __future__ import annotations
 
+import string
+
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lanewright.llm.common import rolling, text_chunks
+from lanewright.llm.common import rolling, staged, text_chunks
 
 WINDOW = 8
-#: Words of a template window that must not be placeholders (and words of an item); template words of an item that matches must cover.
+#: Words of a template window that must not be placeholders; words of an item that matches must cover.
 LEAST_LITERAL, LEAST_COVERED = 4, 13
 #: Hashes of benchmark windows that one pass over the documents holds; a larger benchmark takes more passes.
 PASS_HASHES = 2_000_000
 # Units that are placeholders after a number.
-UNITS = """% ° °c °f k mm cm m km in ft yd mi mg g kg t oz lb lbs ml l cl gal ms s sec min h hr hrs d day days week weeks month months year years
+UNITS = frozenset("""% ° °c °f k mm cm m km in ft yd mi mg g kg t oz lb lbs ml l cl gal ms s sec min h hr hrs d day days week weeks month months year years
 hour hours minute minutes second seconds meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters mile miles foot feet
 inch inches gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons dollar dollars euro euros cent cents percent
-degree degrees hz khz mhz ghz w kw mw v a n j kj cal kcal b kb mb gb tb pa kpa mph kmh km/h m/s m2 m3 cm2 cm3""".split()
+degree degrees hz khz mhz ghz w kw mw v a n j kj cal kcal b kb mb gb tb pa kpa mph kmh km/h m/s m2 m3 cm2 cm3""".split())
 _NUMBER = regex.compile(r"[+\-−$€£]?\d[\d.,:/]*(?:st|nd|rd|th)?[%°$€£]?")
 _EDGE = regex.compile(r"^[^\p{L}\p{N}%°]+|[^\p{L}\p{N}%°]+$")
 _ENDS = regex.compile(r"[.!?:…]\W*$")
+#: ASCII marks that are no part of a word's core at its ends.
+_MARKS = string.punctuation.replace("%", "").replace("_", "")
 _HIT = "doc_id long, at int, hash long, size int, slots array<string>"
 
 
@@ -59,16 +65,21 @@ class Words:
         return out
 
     def _add(self, raw: bytes) -> int:
-        import xxhash
-
         word = raw.decode(errors="replace")
-        core = _EDGE.sub("", word)
-        low = core.lower()
-        number = _NUMBER.fullmatch(core) is not None
-        flags = (1 if core else 0) | 2 * number | 4 * (low in UNITS) | 8 * (core[:1].isupper()) | 16 * (_ENDS.search(word) is not None)
+        core = word.strip(_MARKS)
+        if core.isalpha():  # most words: letters with ASCII marks around them
+            low = core.lower()
+            flags = 1 | 4 * (low in UNITS) | 8 * core[0].isupper()
+            if word[-1] in _MARKS:
+                tail = word[word.rindex(core) + len(core) :]
+                flags |= 16 * ("." in tail or "!" in tail or "?" in tail or ":" in tail)
+        else:
+            core = _EDGE.sub("", word)
+            low = core.lower()
+            flags = (1 if core else 0) | 2 * (_NUMBER.fullmatch(core) is not None) | 4 * (low in UNITS) | 8 * (core[:1].isupper()) | 16 * (_ENDS.search(word) is not None)
         self.rows[raw] = i = len(self.core)
         self.core.append(low)
-        self.hash.append(xxhash.xxh3_64_intdigest(low.encode()))
+        self.hash.append(xxhash.xxh3_64_intdigest(low))
         self.flag.append(flags)
         return i
 
@@ -114,34 +125,47 @@ def _slots(words: Words, idx, kind, at: int, size: int, named: bool) -> list[str
 
 
 def _benchmark_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(item_id, at, hash, size, slots, n_words); items shorter than WINDOW are one window."""
+    """(item_id, cls, own, item_at, hash, size, item_slots, n_words); items shorter than WINDOW are one window.
+
+    Items of one ``cls`` have the same template and repeat its slots alike, so
+    the same texts are re-parameterisations of them; ``own`` names the words.
+    """
 
     def cut(batches):
         words = Words()
         for (ids,), texts in text_chunks(batches, ["item_id"]):
             of, idx, literal, plain, named, kind = template(texts, words)
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(8)]
             ends = np.searchsorted(of, np.arange(len(texts) + 1))
             for k in range(len(texts)):
                 a, b = ends[k], ends[k + 1]
                 size = min(WINDOW, int(b - a))
-                if size < LEAST_LITERAL:
+                if not size:
                     continue
+                order: dict[str, int] = {}
+                repeats = [order.setdefault(x, len(order)) for x in _slots(words, idx, kind, a, b - a, True)]
+                cls = xxhash.xxh3_64_intdigest(named[a:b].tobytes() + np.array(repeats, np.int64).tobytes())
+                own = xxhash.xxh3_64_intdigest(literal[a:b].tobytes())
+                held = set()
+
+                def add(i, h, slots):
+                    for col, x in zip(out, (ids[k], cls - (1 << 63), own - (1 << 63), i, h, size, slots, int(b - a))):  # noqa: B023
+                        col.append(x)
+
                 for values, is_named in ((named, True), (plain, False)):
                     for i, h in enumerate(rolling(values[a:b], size).view(np.int64).tolist()):
                         slots = _slots(words, idx, kind, a + i, size, is_named)
                         if size - len(slots) >= LEAST_LITERAL and (is_named or (kind[a + i : a + i + size] == 3).any()):
-                            for col, x in zip(out, (ids[k], i, h, size, slots, int(b - a))):
-                                col.append(x)
+                            add(i, h, slots)
+                            held.add(i)
                 for i, h in enumerate(rolling(literal[a:b], size).view(np.int64).tolist()):
-                    if np.isin(kind[a + i : a + i + size], (1, 2)).any():  # without numbers and units a template is word for word
-                        for col, x in zip(out, (ids[k], i, h, size, [], int(b - a))):
-                            col.append(x)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["item_id", "item_at", "hash", "size", "item_slots", "n_words"])
+                    if i not in held or np.isin(kind[a + i : a + i + size], (1, 2)).any():  # without numbers and units a template is word for word
+                        add(i, h, [])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["item_id", "cls", "own", "item_at", "hash", "size", "item_slots", "n_words"])
 
-    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("t"))
-    return rows.mapInArrow(cut, "item_id long, item_at int, hash long, size int, item_slots array<string>, n_words int")
+    rows = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("t")).filter("item_id is not null")
+    return rows.mapInArrow(cut, "item_id long, cls long, own long, item_at int, hash long, size int, item_slots array<string>, n_words int")
 
 
 def _hits(docs: DataFrame, wanted: dict[int, np.ndarray]) -> DataFrame:
@@ -190,19 +214,49 @@ def _clashes(windows: Column) -> Column:
     return F.array_distinct(F.array_compact(twice))
 
 
+def _with_sound(df: DataFrame, windows: str) -> DataFrame:
+    """``df`` with the windows of the column that hold under one mapping of item values (sound), and those word for word (same)."""
+    df = df.withColumn("clashes", _clashes(F.col(windows)))
+    at_odds = F.filter(windows, lambda w: ~_literal(w) & F.arrays_overlap(_values(w), F.col("clashes")))
+    df = df.withColumn("doubted", F.array_distinct(F.concat("clashes", F.flatten(F.transform(at_odds, _values)))))
+    sound = F.filter(windows, lambda w: _literal(w) | ~F.arrays_overlap(_values(w), F.col("doubted")))
+    return df.withColumn("sound", _words(sound)).withColumn("same", _words(F.filter(windows, _literal))).drop("clashes", "doubted")
+
+
+def _words(windows: Column) -> Column:
+    """Places in the item of the words that windows cover."""
+    starts = F.array_distinct(F.transform(windows, lambda w: w["item_at"]))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + F.col("size") - 1))))
+
+
+def _covered(pairs: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n_words, n_covered) under the best single mapping: of one alignment, or of all of them together."""
+    lines = pairs.groupBy("doc_id", "item_id", "n_words", "size", "line").agg(F.collect_set(F.struct("item_at", "pairs")).alias("windows"))
+    lines = _with_sound(lines, "windows")
+    both = lines.groupBy("doc_id", "item_id", "n_words", "size").agg(F.flatten(F.collect_list("windows")).alias("windows"), F.collect_list("sound").alias("each"))
+    both = _with_sound(both, "windows")
+    best = F.array_max(F.transform("each", lambda x: F.size(F.array_union(F.col("same"), x))))
+    return both.select("doc_id", "item_id", "n_words", F.greatest(best, F.size("sound")).alias("n_covered"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs (doc_id, item_id, n_covered, n_words): documents that hold a benchmark item or a re-parameterised one.
 
     ``n_covered`` of the item's ``n_words`` template words lie in matched
-    windows of WINDOW words (the whole item, if shorter), word for word or with
-    consistent slots; bare punctuation, signs of arithmetic included, isn't a word.
-    A pair needs LEAST_COVERED of them, or all of a shorter item.  Null and
-    empty texts match nothing, nor do items of under LEAST_LITERAL words; a null
-    id can't be reported, so such rows give no pair; repeated rows give one
-    pair; empty tables give no rows; further columns are ignored.
+    windows of WINDOW words (the whole item, if shorter): word for word, or with
+    slots that are consistent under one mapping, that of one alignment or of all
+    alignments together.  Bare punctuation, signs of arithmetic included, isn't
+    a word.  A pair needs LEAST_COVERED of them, or all of a shorter item.
+    Windows with fewer than LEAST_LITERAL words that aren't placeholders match
+    word for word alone.
+
+    A re-parameterised item is reported once for all items of its template that
+    repeat slots alike, under the least id; the others of these are reported
+    where they occur word for word; items of the same words are one, under the
+    least id.  Null and empty texts match nothing; a null id can't be reported,
+    so such rows give no pair; repeated rows give one pair; empty tables give no
+    rows; further columns are ignored.
     """
-    from lanewright.llm.common import staged
-
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     windows = staged(_benchmark_windows(benchmark, item_id, item_text), "benchmark")
     passes = max(1, -(-windows.count() // PASS_HASHES))
@@ -212,17 +266,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         wanted = {int(s): np.sort(g["hash"].to_numpy().view(np.uint64)) for s, g in part.groupby("size")}
         found = _hits(rows, wanted)
         hits = found if hits is None else hits.unionByName(found)
-    pairs = hits.join(windows, ["hash", "size"]).filter("doc_id is not null and item_id is not null and size(slots) = size(item_slots)")
+    hits = staged(hits.filter("doc_id is not null"), "hits")
+    least = windows.groupBy("cls", "own").agg(F.min("item_id").alias("of"))
+    least = least.withColumn("first", F.min("of").over(Window.partitionBy("cls")) == F.col("of")).select("of", "first")
+    of_item = windows.drop("cls", "own").join(least, F.col("item_id") == F.col("of")).drop("of")
+    met = hits.join(of_item.filter("first"), ["hash", "size"]).filter("size(slots) = size(item_slots)")
+    verbatim = hits.join(of_item.filter("not first"), (hits["hash"] == of_item["hash"]) & (hits["size"] == of_item["size"]) & (F.col("slots") == F.col("item_slots"))).drop(of_item["hash"]).drop(of_item["size"])
     zipped = F.transform(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
-    pairs = pairs.withColumn("pairs", zipped).withColumn("line", F.col("at") - F.col("item_at"))
-    lines = pairs.groupBy("doc_id", "item_id", "n_words", "size", "line").agg(F.collect_set(F.struct("item_at", "pairs")).alias("windows"))
-    lines = lines.withColumn("clashes", _clashes(F.col("windows")))
-    at_odds = F.filter("windows", lambda w: ~_literal(w) & F.arrays_overlap(_values(w), F.col("clashes")))
-    lines = lines.withColumn("doubted", F.array_distinct(F.concat("clashes", F.flatten(F.transform(at_odds, _values)))))
-    sound = F.filter("windows", lambda w: _literal(w) | ~F.arrays_overlap(_values(w), F.col("doubted")))
-    lines = lines.withColumn("starts", F.array_distinct(F.transform(sound, lambda w: w["item_at"]))).withColumn("words", F.flatten(F.transform("starts", lambda p: F.sequence(p, p + F.col("size") - 1))))
-    out = lines.groupBy("doc_id", "item_id", "n_words").agg(F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("n_covered"))
-    out = out.filter(F.col("n_covered") >= F.least(F.lit(LEAST_COVERED), F.col("n_words")))
+    pairs = met.unionByName(verbatim).withColumn("pairs", zipped).withColumn("line", F.col("at") - F.col("item_at"))
+    out = _covered(pairs).filter(F.col("n_covered") >= F.least(F.lit(LEAST_COVERED), F.col("n_words")))
     return out.select("doc_id", "item_id", F.col("n_covered").cast("long").alias("n_covered"), F.col("n_words").cast("long").alias("n_words"))
 
 
