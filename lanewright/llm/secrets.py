@@ -2,8 +2,9 @@
 
 Every historical version of a file or document is a blob named by the SHA-256
 of its text.  A ledger row says which rule versions have scanned a blob and what
-they found.  Only unseen (blob, rule version) pairs are scanned; findings are
-then joined back to all rows ("paths") that hold the blob.
+each found.  Only unseen (blob, rule version) pairs are scanned and appended;
+findings of the current versions, and of no others, are then joined back to all
+rows ("paths") that hold the blob.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanewright.llm.common import discard, staged
+
 # The base rules, then further formats that carry their own markers.  Kinds are listed in output order.
 RULES = {
     "assign": (1, r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
     "access": (1, r"AKIA[A-Z0-9]+"),
     "hex": (1, r"[0-9a-f]+"),
-    "pem": (1, r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"),
+    "pem": (2, r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----(?:(?>(?:[A-Za-z0-9+/=:,.\s]|-(?!-))*)-----END [A-Z ]{0,24}PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{16,})*)"),
     "jwt": (1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 }
 BASE_KINDS = ("assign", "access", "hex")
@@ -30,7 +33,9 @@ LEAST = {"assign": 6, "access": 20, "hex": 24, "pem": 0, "jwt": 0}
 NEEDS = {"assign": (b"passw", b"secret", b"token", b"api"), "access": (b"akia",), "pem": (b"private key",), "jwt": (b"eyj",)}
 SPREAD = 32
 SPANS = "array<struct<kind:string,start:int,end:int>>"
-LEDGER = f"sha string, rules array<string>, spans {SPANS}"
+#: Spans of a ledger row name the rule version that found them.
+LEDGER_SPANS = "array<struct<rule:string,start:int,end:int>>"
+LEDGER = f"sha string, rules array<string>, spans {LEDGER_SPANS}"
 
 
 def rule_names() -> list[str]:
@@ -50,8 +55,9 @@ def find_spans(raw: bytes, kinds=tuple(RULES)) -> list[tuple[str, int, int]]:
     rules, found, lower, text = _compiled(), [], raw.lower(), None
     for kind in kinds:
         if kind == "hex":
+            at = start = 0
             for m in rules["hex"].finditer(raw):
-                start = len(raw[: m.start()].decode())
+                start, at = start + len(raw[at : m.start()].decode()), m.start()
                 found.append((kind, start, start + m.end() - m.start()))
         elif any(x in lower for x in NEEDS[kind]):
             text = raw.decode() if text is None else text
@@ -64,11 +70,12 @@ def find_spans(raw: bytes, kinds=tuple(RULES)) -> list[tuple[str, int, int]]:
 
 def _scan(batches):
     names = {name: name.partition("@")[0] for name in rule_names()}
-    kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    versions = {kind: name for name, kind in names.items()}
+    kind = pa.struct([("rule", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     for batch in batches:
         shas, rules, spans = batch.column("sha").to_pylist(), batch.column("todo").to_pylist(), []
         for raw, todo in zip(batch.column("t").cast("binary"), rules):
-            spans.append([{"kind": k, "start": s, "end": e} for k, s, e in find_spans(raw.as_py(), [names[x] for x in todo])])
+            spans.append([{"rule": versions[k], "start": s, "end": e} for k, s, e in find_spans(raw.as_py(), [names[x] for x in todo])])
         yield pa.RecordBatch.from_arrays([pa.array(shas, pa.string()), pa.array(rules, pa.list_(pa.string())), pa.array(spans, pa.list_(kind))], names=["sha", "rules", "spans"])
 
 
@@ -98,8 +105,10 @@ def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, doc_id: str =
 
 
 def join_findings(docs: DataFrame, ledger: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, sha, found): the spans of each row's blob in the ledger, empty if none."""
-    current = ledger.withColumn("x", F.explode("spans")).groupBy(F.col("sha").alias("blob")).agg(F.collect_set("x").alias("found"))
+    """(doc_id, sha, found): the spans of each row's blob that current rule versions have in the ledger, empty if none."""
+    span = F.struct(F.substring_index("x.rule", "@", 1).alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"))
+    current = ledger.withColumn("x", F.explode("spans")).filter(F.col("x.rule").isin(rule_names()))
+    current = current.groupBy(F.col("sha").alias("blob")).agg(F.collect_set(span).alias("found"))
     # A blob may have a third of all paths: its findings, where there are any, are there once for each of SPREAD groups of paths.
     current = current.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     paths = _paths(docs, doc_id, text).drop("t").withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int"))
@@ -112,6 +121,21 @@ def _joined(spans):
     return F.array_join(F.transform(keyed, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def update_ledger(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ledger table at ``path`` with rows appended for what ``docs`` has that it lacks; a new table if there is none.
+
+    A run that dies before its rows are committed leaves the table as it was; one
+    that is repeated appends nothing.
+    """
+    spark = docs.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    new = staged(scan_unseen(docs, spark.read.schema(LEDGER).parquet(path) if known else None, doc_id, text), "unseen")
+    new.write.mode("append").parquet(path)
+    discard(new)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row.
 
@@ -120,7 +144,7 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, doc_id: str
     texts are empty and have no spans; repeated rows each give a row; a null id
     is an id; an empty table gives no rows; further columns are ignored.
     """
-    new = scan_unseen(docs, ledger, doc_id, text)
+    new = staged(scan_unseen(docs, ledger, doc_id, text), "ledger")
     rows = join_findings(docs, new if ledger is None else ledger.unionByName(new), doc_id, text)
     base = F.filter("found", lambda x: x["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
