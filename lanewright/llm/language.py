@@ -21,6 +21,8 @@ from lanewright.llm.common import text_chunks
 GRAMS = 1 << 15
 #: Documents of each language that are counted, about; all if there are fewer.
 SAMPLE = 3000
+#: Languages that are learned: those of the most documents, ties by name.
+MOST_LANGS = 200
 SWITCH, OUTSIDE = 6.0, -12.0
 # First code point of ranges of letters and the script there.
 SCRIPTS = [(0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x780, "other"), (0x900, "devanagari"), (0x980, "bengali"),
@@ -29,7 +31,9 @@ SCRIPTS = [(0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "arme
 _STARTS = np.array([a for a, _ in SCRIPTS])
 _NAMES = sorted({name for _, name in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(name) for _, name in SCRIPTS])
-_NOT_LETTERS = re.compile(r"(?:[^\w\n]|[\d_])+")
+#: Signs that count as word characters without being letters or digits: fractions, Roman and circled numbers and the like.
+_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NOT_LETTERS = re.compile(rf"(?:[^\w\n]|[\d_{_NUMERALS}])+")
 _SEEDS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
@@ -59,9 +63,8 @@ def distinct(split: list[list[bytes]]) -> tuple[list[bytes], np.ndarray]:
 
 
 def _counted(batches):
-    """Gram counts and script counts of each language in this partition."""
+    """(lang, code, n): how often each gram occurs in this partition, and (codes from GRAMS on) how many letters of each script."""
     counts: dict[str, np.ndarray] = {}
-    scripts: dict[str, np.ndarray] = {}
     for (langs,), texts in text_chunks(batches, ["lang"]):
         split = [t.split() for t in texts]
         words, places = distinct(split)
@@ -71,12 +74,12 @@ def _counted(batches):
         at = np.repeat(np.array(langs, object), [len(s) for s in split])
         for lang in set(langs):
             often = np.bincount(places[at == lang], minlength=len(words))
-            counts[lang] = counts.get(lang, 0) + np.bincount(grams, weights=often[of], minlength=GRAMS)
-            scripts[lang] = scripts.get(lang, 0) + np.bincount(np.maximum(script, 0), weights=often * sizes, minlength=len(_NAMES))
-    for lang, v in counts.items():
-        pairs = [(k, int(n)) for k, n in zip(_NAMES, scripts[lang]) if n]
-        arrays = [pa.array([lang]), pa.array([v.astype(np.int64).tobytes()], pa.binary()), pa.array([[k for k, _ in pairs]], pa.list_(pa.string())), pa.array([[n for _, n in pairs]], pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "counts", "scripts", "letters"])
+            held = counts.setdefault(lang, np.zeros(GRAMS + len(_NAMES), np.int64))
+            held[:GRAMS] += np.bincount(grams, weights=often[of], minlength=GRAMS).astype(np.int64)
+            held[GRAMS:] += np.bincount(np.maximum(script, 0), weights=often * sizes, minlength=len(_NAMES)).astype(np.int64)
+    for lang, held in counts.items():
+        code = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.astype(np.int32)), pa.array(held[code])], names=["lang", "code", "n"])
 
 
 @dataclass
@@ -86,36 +89,29 @@ class Model:
     scripts: list[set[str]]
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    """Sum the counts of one (language, group)."""
-    total = sum((np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist()), np.zeros(GRAMS, np.int64))
-    seen: dict[str, int] = {}
-    for names, numbers in zip(table.column("scripts").to_pylist(), table.column("letters").to_pylist()):
-        for k, n in zip(names, numbers):
-            seen[k] = seen.get(k, 0) + n
-    pairs = sorted(seen.items())
-    arrays = [pa.array([table.column("lang")[0].as_py()]), pa.array([total.tobytes()], pa.binary()), pa.array([[k for k, _ in pairs]], pa.list_(pa.string())), pa.array([[n for _, n in pairs]], pa.list_(pa.int64()))]
-    return pa.table(dict(zip(("lang", "counts", "scripts", "letters"), arrays)))
+def train(docs: DataFrame, sample_docs: int = SAMPLE, most_langs: int = MOST_LANGS) -> Model:
+    """Fit on about ``sample_docs`` whole documents of each language, drawn by hashed id; ``docs`` has doc_id, text, lang.
 
-
-def train(docs: DataFrame, sample_docs: int = SAMPLE) -> Model:
-    """Fit on about ``sample_docs`` whole documents of each language, drawn by hashed id; ``docs`` has doc_id, text, lang."""
+    The ``most_langs`` languages of the most documents are learned, so the
+    counts that come to the driver are bounded.
+    """
     known = docs.filter("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row for each language
+    often = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    sizes = {r["lang"]: r["count"] for r in often.collect()}
     if not sizes:
         return Model([], np.zeros((0, GRAMS)), [])
     share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))))
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    schema = "lang string, counts binary, scripts array<string>, letters array<long>"
-    rows = drawn.select("lang", F.col("text").alias("t")).mapInArrow(_counted, schema).groupBy("lang").applyInArrow(_summed, schema).collect()
-    rows = sorted(rows, key=lambda r: r["lang"])
-    logs, scripts = [], []
-    for r in rows:
-        c = np.frombuffer(r["counts"], np.int64) + 0.3
-        logs.append(np.log(c / c.sum()))
-        total = sum(r["letters"]) or 1
-        scripts.append({k for k, n in zip(r["scripts"], r["letters"]) if n >= 0.01 * total})
-    return Model([r["lang"] for r in rows], np.array(logs), scripts)
+    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * 1_000_000)
+    rows = drawn.select("lang", F.col("text").alias("t")).mapInArrow(_counted, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    langs, logs, scripts = sorted(set(rows["lang"])), [], []
+    for lang in langs:
+        mine = rows[rows["lang"] == lang]
+        c = np.zeros(GRAMS + len(_NAMES))
+        c[mine["code"]] = mine["n"]
+        grams, letters = c[:GRAMS] + 0.3, c[GRAMS:]
+        logs.append(np.log(grams / grams.sum()))
+        scripts.append({k for k, n in zip(_NAMES, letters) if n and n >= 0.01 * letters.sum()})
+    return Model(langs, np.array(logs), scripts)
 
 
 def word_scores(model: Model, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
