@@ -20,30 +20,95 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_DIM, WORD_DIM, EXTRA = 192, 16, 8
+PATH_DIM, WORD_DIM, EXTRA = 192, 64, 8
 HIDDEN, DENSE_DIM = 16, PATH_DIM + WORD_DIM + EXTRA
 TRAIN_PAGES, EPOCHS, BATCH, SEED = 1500, 8, 30, 7
 # Elements of HTML.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3
 h4 h5 h6 header hgroup hr html legend li main menu nav noframes ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul""".split())
-SILENT = frozenset("script style noscript template svg math head title iframe object canvas audio video textarea datalist".split())
+SILENT = frozenset("script style noscript template svg head title iframe textarea datalist".split())
 RAW = frozenset("script style textarea title iframe".split())  # what follows the tag is no markup up to the end tag
-NESTED = frozenset("template svg math object".split())
+NESTED = frozenset("template svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("body html optgroup option caption tbody td tfoot th thead tr".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tbody", "tfoot", "tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu", "dir"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "thead": ("table",), "tbody": ("table",), "tfoot": ("table",)}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([A-Za-z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"(?>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*)(?=>)")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
-_SPACE = re.compile(r"[ \t\n\r\f\v\xa0 -     　]+")
+# White space as Unicode lists it.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
+_SPACE = re.compile(f"[{WHITE}]+")
 
 
 class Block:
-    __slots__ = ("path", "text", "linked", "tag")
+    __slots__ = ("path", "depth", "marked", "text", "linked", "tag")
+
+    def __init__(self, path, depth, marked, tag):
+        self.path, self.depth, self.marked, self.tag, self.text, self.linked = path, depth, marked, tag, [], 0
+
+
+class Stack:
+    """Open elements, with what is asked of them kept up to date, so that depth costs nothing."""
+
+    def __init__(self):
+        self.tags, self.tokens, self.blocks = [], [], []
+        self.places: dict[str, list[int]] = {}
+        self.path: dict[int, int] = {}  # hash bucket of a token -> how many there are
+        self.depth, self.marked, self.links = 0, 0, 0
+
+    def push(self, tag: str, tokens: list[str]) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.tags))
+        self.tags.append(tag)
+        self.tokens.append(tokens)
+        self._count(tokens, 1)
+        self.links += tag == "a"
+
+    def _count(self, tokens: list[str], k: int) -> None:
+        for token in tokens:
+            bucket = _path_bucket(token)
+            self.path[bucket] = held = self.path.get(bucket, 0) + k
+            if not held:
+                del self.path[bucket]
+            self.marked += k * (token == ".mainmark")
+        self.depth += k * len(tokens)
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of these, -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def outer(self, place: int) -> bool:
+        """Whether a block is open inside the element at ``place``."""
+        return bool(self.blocks) and self.blocks[-1] > place
+
+    def close(self, place: int) -> bool:
+        """Close all elements from ``place`` on; whether a block was among them."""
+        had = bool(self.blocks) and self.blocks[-1] >= place
+        while len(self.tags) > place:
+            tag = self.tags.pop()
+            self._count(self.tokens.pop(), -1)
+            if tag:
+                self.places[tag].pop()
+                self.links -= tag == "a"
+            if tag in BLOCKS:
+                self.blocks.pop()
+        return had
+
+    def forget(self, place: int) -> None:
+        """Take the end tag of the innermost element of its name, an inline one that blocks were opened in; its tokens stay until those close."""
+        tag, self.tags[place] = self.tags[place], ""
+        self.places[tag].pop()
+        self.links -= tag == "a"
+
 
-    def __init__(self, path, tag):
-        self.path, self.tag, self.text, self.linked = path, tag, [], 0
+def _after_tag(page: str, at: int) -> tuple[int, str] | None:
+    """(place after the tag whose name ends at ``at``, its attributes); a quote that hides the end is an ordinary character."""
+    m = _ATTRIBUTES.match(page, at)
+    end = m.end() if m else page.find(">", at)
+    return None if end < 0 else (end + 1, page[at:end])
 
 
 def parse_blocks(page: str) -> list[Block]:
@@ -51,66 +116,70 @@ def parse_blocks(page: str) -> list[Block]:
 
     Of a silent element without an end tag only the tag is skipped (so an open
     head ends at what can't be in it); a script, style, textarea, title or
-    iframe without one takes the rest of the page.
+    iframe without one takes the rest of the page.  Formulas and what stands in
+    for an object, a sound or a picture are text.  A tag without an end is text.
+    The time is linear in the page.
     """
-    blocks, stack, block, links, at = [], [], None, 0, 0
+    blocks, stack, block, at = [], Stack(), None, 0
     unclosed, open_head = set(), False
 
-    def close(depth):
-        nonlocal block, links
-        while len(stack) > depth:
-            tag = stack.pop()[0]
-            links -= tag == "a"
-            if tag in BLOCKS:
-                block = None
-
     def say(raw):
         nonlocal block
         if not raw:
             return
         text = entities.unescape(raw) if "&" in raw else raw
         if block is None:
-            if not text.strip():
+            if not text.strip(WHITE):
                 return
-            path = [tokens for _, tokens, _ in stack]
-            block = Block([t for tokens in path for t in tokens], next((t for t, _, _ in reversed(stack) if t in BLOCKS), "body"))
+            block = Block(list(stack.path), stack.depth, stack.marked > 0, stack.tags[stack.blocks[-1]] if stack.blocks else "body")
             blocks.append(block)
         block.text.append(text)
-        if links > 0:
+        if stack.links > 0:
             block.linked += len(text)
 
+    def close(place):
+        nonlocal block
+        if stack.close(place):
+            block = None
+
     while True:
-        m = _TOKEN.search(page, at)
+        m = _MARK.search(page, at)
         if m is None:
             say(page[at:])
             break
         say(page[at : m.start()])
         at = m.end()
-        name = m[2].lower() if m[2] else None
-        if name is None:
+        if not m[2]:
+            mark = {"<!--": "-->", "<![CDATA[": "]]>"}.get(m[0], ">")
+            end = page.find(mark, at)
+            at = len(page) if end < 0 else end + len(mark)
             continue
+        if (tail := _after_tag(page, at)) is None:  # no tag ends from here on
+            say(page[m.start() :])
+            break
+        at, attributes = tail
+        name = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None and (name in BLOCKS or not any(t in BLOCKS for t, _, _ in stack[depth + 1 :])):
-                close(depth)
-            elif depth is not None:  # an inline element left open across blocks
-                links -= name == "a"
-                stack[depth] = ("", stack[depth][1], stack[depth][2])
+            place = stack.last(name)
+            if place >= 0 and (name in BLOCKS or not stack.outer(place)):
+                close(place)
+            elif place >= 0:
+                stack.forget(place)
             continue
         if name == "br":
             say(" ")
             continue
         if name in SILENT:
-            if not m[3].rstrip().endswith("/"):
-                end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            if not attributes.rstrip().endswith("/"):
+                end = None if name in unclosed else _end_of(name).search(page, at)
                 if end is None:
                     unclosed.add(name)  # there is no end tag from here on
                 if name == "head":
                     open_head = end is None
-                elif end and name not in RAW | NESTED and re.compile(rf"<{re.escape(name)}\b", re.I).search(page, at, end.start()):
+                elif end and name not in RAW | NESTED and _start_of(name).search(page, at, end.start()):
                     end = None  # that tag ends a later element
                 elif end is None and name in RAW and open_head:
-                    end = re.compile(r"(?=<body\b)", re.I).search(page, at)
+                    end = _BODY.search(page, at)
                 if end:
                     at = end.end()
                 elif name in RAW:
@@ -121,28 +190,20 @@ def parse_blocks(page: str) -> list[Block]:
                 block = None
             continue
         open_head = False
-        if name in CLOSES_P:
-            p = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if p is not None and not any(t in BLOCKS for t, _, _ in stack[p + 1 :]):
-                close(p)
-        if name in SIBLINGS:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in SCOPES[name]:
-                    break
-                if stack[i][0] in SIBLINGS[name]:
-                    close(i)
-                    break
+        if name in CLOSES_P and (p := stack.last("p")) >= 0 and not stack.outer(p):
+            close(p)
+        if name in SIBLINGS and (place := stack.last(*SIBLINGS[name])) > stack.last(*SCOPES[name]):
+            close(place)
         if name in BLOCKS:
             block = None
         tokens = [name]
-        if m[3]:
-            for k, a, b, c in _ATTRIBUTE.findall(m[3]):
+        if attributes:
+            for k, a, b, c in _ATTRIBUTE.findall(attributes):
                 if k.lower() in ("class", "id", "role", "itemprop", "aria-label"):
                     tokens += [f".{w}" for w in _SPLIT.split((a or b or c).lower()) if w]
                 elif k.lower() == "hidden" or (k.lower() == "style" and "display:none" in (a or b).replace(" ", "")):
                     tokens.append(".hidden")
-        stack.append((name, tokens, name in BLOCKS))
-        links += name == "a"
+        stack.push(name, tokens)
     out = []
     for b in blocks:
         b.text = _SPACE.sub(" ", "".join(b.text)).strip(" ")
@@ -151,24 +212,40 @@ def parse_blocks(page: str) -> list[Block]:
     return out
 
 
+@lru_cache(maxsize=64)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I)
+
+
+@lru_cache(maxsize=64)
+def _start_of(name: str) -> re.Pattern:
+    return re.compile(rf"<{re.escape(name)}\b", re.I)
+
+
+_BODY = re.compile(r"(?=<body\b)", re.I)
+
+
 @lru_cache(maxsize=100_000)
 def _path_bucket(token: str) -> int:
     return zlib.crc32(token.encode()) % PATH_DIM
 
 
+@lru_cache(maxsize=200_000)
+def _word_bucket(word: str) -> int:
+    return zlib.crc32(word.encode()) % WORD_DIM
+
+
 def features(blocks: list[Block]) -> np.ndarray:
-    """(blocks, DENSE_DIM): tag path, words, shape."""
+    """(blocks, DENSE_DIM): tag path, all words, shape."""
     x = np.zeros((len(blocks), DENSE_DIM), np.float32)
     for i, b in enumerate(blocks):
-        for token in b.path:
-            x[i, _path_bucket(token)] = 1.0
+        x[i, b.path] = 1.0
         x[i, _path_bucket(f"leaf:{b.tag}")] = 1.0
-        words = b.text.split(" ")
-        for w in words[:: max(1, len(words) // 32)]:
-            x[i, PATH_DIM + zlib.crc32(w.lower().encode()) % WORD_DIM] += 1.0
+        words = b.text.lower().split(" ")
+        x[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(list(map(_word_bucket, words)), minlength=WORD_DIM)
         n, chars = len(words), len(b.text)
         marks = sum(b.text.count(c) for c in ".,;:!?")
-        x[i, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 4, min(2.0, 10 * marks / max(1, chars)), b.linked / max(1, chars), b.text[-1] in ".!?", i / max(1, len(blocks) - 1), np.log1p(len(blocks)) / 5, len(b.path) / 10, b.text[:1] in "©@|»#")
+        x[i, PATH_DIM + WORD_DIM :] = (np.log1p(n) / 4, min(2.0, 10 * marks / max(1, chars)), b.linked / max(1, chars), b.text[-1] in ".!?", i / max(1, len(blocks) - 1), np.log1p(len(blocks)) / 5, min(b.depth, 100) / 10, b.text[:1] in "©@|»#")
     words = x[:, PATH_DIM : PATH_DIM + WORD_DIM]
     words /= np.maximum(1.0, words.sum(1, keepdims=True)) / 2
     return x
@@ -366,7 +443,7 @@ def labelled(page: str) -> tuple[list[Block], np.ndarray]:
     """Blocks of a generated page and whether each is main text."""
     marked = parse_blocks(re.sub(r"<(\w+)([^>]*) data-main=1", r'<\1\2 class="mainmark"', page))
     plain = parse_blocks(page.replace(" data-main=1", ""))
-    return plain, np.array([".mainmark" in b.path for b in marked], np.float32)
+    return plain, np.array([b.marked for b in marked], np.float32)
 
 
 def fit(pages: int = TRAIN_PAGES, epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
