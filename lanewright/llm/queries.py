@@ -77,13 +77,16 @@ WITH t AS (
   SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos
   FROM conversations
 ), c AS (
-  SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY pos) AS l,
+  SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY pos) AS l FROM t GROUP BY conv_id
+), s AS (
+  SELECT conv_id, (pos - 1) // 1024 AS segment,
          string_agg('<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>', chr(10) ORDER BY pos) AS body
-  FROM t GROUP BY conv_id
+  FROM t GROUP BY ALL
 ), u AS (
-  SELECT l, n_turns, min(conv_id) AS conv_id, count(*) AS n_copies, min(body) AS body FROM c GROUP BY l, n_turns
+  SELECT l, n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY l, n_turns
 )
-SELECT conv_id, n_turns, n_copies, CAST(0 AS BIGINT) AS segment, body AS text FROM u
+SELECT u.conv_id, n_turns, n_copies, CAST(segment AS BIGINT) AS segment, body AS text
+FROM u JOIN s ON s.conv_id IS NOT DISTINCT FROM u.conv_id
 WHERE NOT EXISTS (SELECT 1 FROM u AS b WHERE b.n_turns > u.n_turns AND list_slice(b.l, 1, u.n_turns) = u.l)
 """
 
