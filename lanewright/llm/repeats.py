@@ -53,10 +53,17 @@ def _block(table: pa.Table):
     return [ids[i] for i in order], [texts[i] for i in order]
 
 
-def _anchors(texts: list[bytes], window: int):
-    """(spans, hashes of the words, row of each window, its first word, place of that in its row, anchor)."""
+def _places(texts: list[bytes], window: int):
+    """(spans, hashes of the words, row of each window, its first word, place of that in its row)."""
     spans = word_spans(texts)
-    h = span_hashes(spans)
+    fits = np.maximum(spans.counts - window + 1, 0)
+    row = np.repeat(np.arange(len(texts)), fits)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(fits) - fits, fits)
+    return spans, span_hashes(spans), row, place + (np.cumsum(spans.counts) - spans.counts)[row], place
+
+
+def _anchors(h: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """The least hash of a phrase in each window."""
     phrase = min(PHRASE, window)
     least, span = rolling(h, phrase), 1
     need = window - phrase + 1
@@ -64,11 +71,7 @@ def _anchors(texts: list[bytes], window: int):
         step = min(span, need - span)
         least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
         span += step
-    starts = np.cumsum(spans.counts) - spans.counts
-    row = np.repeat(np.arange(len(texts)), spans.counts)[: len(least)]
-    at = np.flatnonzero(np.arange(len(least)) + window <= (starts + spans.counts)[row]) if len(least) else np.zeros(0, np.int64)
-    row = row[at]
-    return spans, h, row, at, at - starts[row], least[at]
+    return least[at]
 
 
 def _cuts(keys: np.ndarray):
@@ -91,7 +94,8 @@ def _report(window: int, buckets: int):
     def report(table: pa.Table) -> pa.Table:
         blk = table.column("blk")[0].as_py()
         ids, texts = _block(table)
-        _, _, row, _, _, anchor = _anchors(texts, window)
+        _, h, row, at, _ = _places(texts, window)
+        anchor = _anchors(h, at, window)
         docs = np.array([i - blk * IDS_PER_BLOCK for i in ids], np.uint8)[row]
         new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (docs[1:] != docs[:-1])])) if len(anchor) else np.zeros(0, np.int64)
         anchor, docs = anchor[new], docs[new]
@@ -135,7 +139,8 @@ def _windows(window: int, buckets: int):
         if table.num_rows and replies.num_rows:
             blk = table.column("blk")[0].as_py()
             ids, texts = _block(table)
-            _, h, row, at, place, anchor = _anchors(texts, window)
+            _, h, row, at, place = _places(texts, window)
+            anchor = _anchors(h, at, window)
             known = np.sort(_joined(replies, "names", np.uint64))
             held = known[np.minimum(np.searchsorted(known, anchor), len(known) - 1)] == anchor
             row, at, place = row[held], at[held], place[held]
@@ -170,12 +175,13 @@ def _confirmed(readers: int):
         asks = hi[order] > least[group]
         out = {}
         # what blocks want: (owner, region, level), once each
-        wants = order[asks]
-        keys = np.stack([place[wants], least[group[asks]], region[order[first]][group[asks]].astype(np.int64), level[group[asks]].astype(np.int64)], axis=1)
-        for p, *key in np.unique(keys, axis=0).tolist():
-            out.setdefault(p, ([], [], [], [], []))
-            for column, x in zip(out[p], key):
-                column.append(x)
+        wants, of = order[asks], group[asks]
+        keys = [level[of], region[order[first]][of], least[of], place[wants]]
+        keys = np.stack([k.astype(np.int64) for k in keys])[:, np.lexsort(keys)]
+        keys = keys[:, np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])] if keys.shape[1] else keys
+        a, b = _cuts(keys[3])
+        for i, j in zip(a.tolist(), b.tolist()):
+            out[int(keys[3, i])] = (keys[2, i:j], keys[1, i:j], keys[0, i:j], [], [])
         owns = order[first[most > least]]
         for p, name, k in zip(place[owns].tolist(), h1[owns].tolist(), level[most > least].tolist()):
             held = out.setdefault(p, ([], [], [], [], []))
@@ -203,7 +209,7 @@ def _passages(window: int):
                 order = np.argsort(own)
                 own, levels = own[order], levels[order]
                 ids, texts = _block(table)
-                spans, h, row, at, place, _ = _anchors(texts, window)
+                spans, h, row, at, place = _places(texts, window)
                 name = rolling(h, window)[at]
                 where = np.minimum(np.searchsorted(own, name), len(own) - 1)
                 held = np.flatnonzero(own[where] == name)
