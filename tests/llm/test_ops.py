@@ -78,6 +78,28 @@ def test_edits_are_located(spark):
     assert got[0] == [(0, 1)] and got[1] == [] and got[2] == [(0, 0)]
 
 
+def test_an_inserted_paragraph_marks_no_other(spark):
+    text = "one a.\ntwo b.\n\nthree c.\nfour d."
+    df = spark.createDataFrame([(text, "new x.\n" + text), (text, "one a.\ntwo b.\n\nnew x.\n\nthree c.\nfour d."), (text, text.replace("c.", "e."))], "a string, b string")
+    f = merkle.with_fingerprint(merkle.with_fingerprint(df, "a", "fa"), "b", "fb")
+    f = f.select(merkle.locate_edits(F.col("fa"), F.col("fb")).alias("gone"), merkle.locate_edits(F.col("fb"), F.col("fa")).alias("new"))
+    got = [([tuple(e) for e in r.gone], [tuple(e) for e in r.new]) for r in f.collect()]
+    assert got == [([], [(0, 0)]), ([], [(1, 0), (1, 1), (1, 2)]), ([(1, 0)], [(1, 0)])]  # a new section is new as a whole, its blank line too
+
+
+def test_fingerprint_holds_every_level_and_ids_far_apart(spark):
+    import json
+
+    rows = [(-(1 << 60), "a, b.\n\nc"), (5, "a, b.\n\nd"), (1 << 61, "last one")]
+    got = {r.doc_id: r for r in merkle.fingerprint_documents(docs(spark, rows)).collect()}
+    tree = {i: json.loads(r.fingerprint[65:]) for i, r in got.items()}
+    a, b = tree[-(1 << 60)], tree[5]
+    assert a[0] == b[0] and a[1]["h"] != b[1]["h"] and a[0]["p"][0]["h"] != a[0]["p"][0]["l"][0] and got[5].fingerprint[:64] != got[-(1 << 60)].fingerprint[:64]
+    for (i, t), (_, n) in zip(rows, rows[1:] + rows[:1]):
+        k = len(t) // 4
+        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()
+
+
 # -- decontamination
 
 
@@ -564,6 +586,14 @@ def test_chat_hard_rows(spark):
     assert chat.render_chats(df.limit(0)).count() == 0
 
 
+def test_long_conversations_come_in_segments_as_in_sql(spark, tmp_path):
+    rows = [(1, t, "user", f"m{t}") for t in range(2500)] + [(2, t * 3, "user", f"m{t}") for t in range(1100)] + [(3, 0, "user", "other")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.segment): r.text.count("<|end|>") for r in queries.op10_chat(spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): 1024, (1, 1): 1024, (1, 2): 452, (3, 0): 1}
+    same(queries.op10_chat(spark, str(tmp_path)), queries.OP10_SQL, str(tmp_path))
+
+
 def test_components_equal_union_find(spark):
     import random
 
