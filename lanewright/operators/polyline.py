@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -130,13 +130,20 @@ def douglas_peucker(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarra
 
 
 def simplify(points: DataFrame, tolerance: float) -> DataFrame:
-    """(line_id, pos, x, y): the vertices that Douglas-Peucker keeps, at their old positions."""
+    """(line_id, pos, x, y): the vertices that Douglas-Peucker keeps, at their old positions; many lines to a batch."""
+    kinds = {f: points.schema[f].dataType.simpleString() for f in ("line_id", "pos")}
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        return pdf[douglas_peucker(pdf["x"].to_numpy(), pdf["y"].to_numpy(), tolerance)]
+    def keep(batches):
+        for batch in batches:
+            pts = batch.column("p")
+            flat, ends = pts.flatten(), np.cumsum([0, *pts.value_lengths().to_pylist()])
+            x, y = flat.field("x").to_numpy(zero_copy_only=False), flat.field("y").to_numpy(zero_copy_only=False)
+            stay = np.concatenate([np.zeros(0, bool), *(douglas_peucker(x[a:b], y[a:b], tolerance) for a, b in zip(ends, ends[1:]))])
+            line = batch.column("line_id").take(pa.array(np.repeat(np.arange(len(pts)), np.diff(ends))))
+            yield pa.RecordBatch.from_arrays([line, *(flat.field(c) for c in ("pos", "x", "y"))], names=["line_id", "pos", "x", "y"]).filter(pa.array(stay))
 
-    return points.select("line_id", "pos", "x", "y").groupBy("line_id").applyInPandas(one, points.select("line_id", "pos", "x", "y").schema)
+    rows = points.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("p"))
+    return rows.mapInArrow(keep, f"line_id {kinds['line_id']}, pos {kinds['pos']}, x double, y double")
 
 
 def hull_points(x: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
@@ -157,14 +164,20 @@ def hull_points(x: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
 
 
 def hulls(points: DataFrame, key: str) -> DataFrame:
-    """(key, ring, area): hull of each group's points; null ring and area for groups on a line."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = hull_points(pdf["x"].to_numpy(), pdf["y"].to_numpy())
-        if len(ring) < 3:
-            return pd.DataFrame({key: [pdf[key].iloc[0]], "ring": [None], "area": [None]})
-        a = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(ring, ring[1:] + ring[:1])) / 2
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "ring": [[{"x": p[0], "y": p[1]} for p in ring]], "area": [a]})
+    """(key, ring, area): hull of each group's points; null ring and area for groups on a line; many groups to a batch."""
+
+    def ring_of(batches):
+        for batch in batches:
+            pts = batch.column("p")
+            flat, ends = pts.flatten(), np.cumsum([0, *pts.value_lengths().to_pylist()])
+            x, y = (flat.field(c).to_numpy(zero_copy_only=False) for c in "xy")
+            rings = [hull_points(x[a:b], y[a:b]) for a, b in zip(ends, ends[1:])]
+            rings = [r if len(r) > 2 else None for r in rings]
+            areas = [r and sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(r, r[1:] + r[:1])) / 2 for r in rings]
+            kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+            made = pa.array([r and [{"x": a, "y": b} for a, b in r] for r in rings], kind)
+            yield pa.RecordBatch.from_arrays([batch.column(key), made, pa.array(areas, pa.float64())], names=[key, "ring", "area"])
 
     kind = points.schema[key].dataType.simpleString()
-    return points.select(key, "x", "y").distinct().groupBy(key).applyInPandas(one, f"{key} {kind}, ring array<struct<x:double,y:double>>, area double")
+    rows = points.groupBy(key).agg(F.collect_set(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("p"))
+    return rows.mapInArrow(ring_of, f"{key} {kind}, ring array<struct<x:double,y:double>>, area double")

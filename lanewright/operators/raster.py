@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,19 +41,19 @@ def union_of(masks: DataFrame, key: str) -> DataFrame:
 def best_band(cells: Column, height: int, width: int) -> Column:
     """struct(score, lo, hi): rows [lo, hi) that fit the mask best, over all pairs lo < hi; the least score, then the least rows."""
     rows = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda r: count_true(F.slice(cells, r * width + 1, F.lit(width))))
-    return F.aggregate(
-        F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda a: F.transform(F.sequence(a + 1, F.lit(height)), lambda b: F.struct(a.alias("lo"), b.alias("hi"))))),
-        F.struct(F.lit(1e300).alias("score"), F.lit(-1).alias("lo"), F.lit(-1).alias("hi")),
-        lambda best, band: _better(best, band, rows, width),
-    )
+    sums = F.aggregate(rows, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    # an array of one, so that the running sums are computed once and not in every place that names them
+    return F.transform(F.array(sums), lambda s: _best_of(s, height, width))[0]
 
 
-def _better(best: Column, band: Column, rows: Column, width: int) -> Column:
-    add = lambda s, v: s + v
-    i = F.aggregate(F.slice(rows, band["lo"] + 1, band["hi"] - band["lo"]), F.lit(0), add)
-    u = F.aggregate(rows, F.lit(0), add) + (band["hi"] - band["lo"]) * width - i
-    score = 1 / (i / ((u - i) + F.lit(1e-8)) + F.lit(1e-8))
-    return F.when(score < best["score"], F.struct(score.alias("score"), band["lo"].alias("lo"), band["hi"].alias("hi"))).otherwise(best)
+def _best_of(sums: Column, height: int, width: int) -> Column:
+    def score(lo, hi):
+        i = F.get(sums, hi) - F.get(sums, lo)
+        rest = F.get(sums, F.lit(height)) + (hi - lo) * width - 2 * i
+        return F.struct((1 / (i / (rest + F.lit(1e-8)) + F.lit(1e-8))).alias("score"), lo.alias("lo"), hi.alias("hi"))
+
+    from_lo = lambda lo: F.array_min(F.transform(F.sequence(lo + 1, F.lit(height)), lambda hi: score(lo, hi)))
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), from_lo))
 
 
 def pool_blocks(pixels: DataFrame, k: int) -> DataFrame:
@@ -79,23 +81,26 @@ def column_runs(pixels: DataFrame) -> DataFrame:
     return p.groupBy("mask_id", "col", "run").agg(F.min("row").alias("start"), (F.max("row") + 1).alias("stop")).select("mask_id", "col", "start", "stop")
 
 
-def _near(pixels: DataFrame, radius: int) -> DataFrame:
-    """Every pixel at all places within ``radius`` rows and columns."""
-    steps = F.sequence(F.lit(-radius), F.lit(radius))
-    at = pixels.withColumn("dr", F.explode(steps)).withColumn("dc", F.explode(steps))
-    return at.select("mask_id", (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), "is_set")
+def _reach(pixels: DataFrame, radius: int, axis: str) -> DataFrame:
+    """Every place within ``radius`` of a pixel along one axis, once."""
+    at = pixels.withColumn("d", F.explode(F.sequence(F.lit(-radius), F.lit(radius)))).withColumn(axis, F.col(axis) + F.col("d"))
+    return at.select("mask_id", "row", "col").distinct()
+
+
+def _marked(pixels: DataFrame, which: str, radius: int) -> DataFrame:
+    """``pixels`` with whether one of those that ``which`` picks is in the square around; down, then across, so 2 (2 radius + 1) rows each."""
+    near = _reach(_reach(pixels.filter(which).select("mask_id", "row", "col"), radius, "row"), radius, "col").withColumn("near", F.lit(True))
+    return pixels.drop("is_set").join(near, ["mask_id", "row", "col"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
 
 
 def dilate(pixels: DataFrame, radius: int = 1) -> DataFrame:
     """Set where any pixel in the square is set; the raster keeps its extent."""
-    some = _near(pixels.filter("is_set"), radius).groupBy("mask_id", "row", "col").agg(F.lit(True).alias("any_set"))
-    return pixels.drop("is_set").join(some, ["mask_id", "row", "col"], "left").withColumn("is_set", F.coalesce("any_set", F.lit(False))).drop("any_set")
+    return _marked(pixels, "is_set", radius).withColumnRenamed("near", "is_set")
 
 
 def erode(pixels: DataFrame, radius: int = 1) -> DataFrame:
     """Unset where any pixel in the square is unset; places beyond the raster don't count."""
-    some = _near(pixels.filter("not is_set"), radius).groupBy("mask_id", "row", "col").agg(F.lit(True).alias("any_unset"))
-    return pixels.drop("is_set").join(some, ["mask_id", "row", "col"], "left").withColumn("is_set", ~F.coalesce("any_unset", F.lit(False))).drop("any_unset")
+    return _marked(pixels, "not is_set", radius).withColumn("is_set", ~F.col("near")).drop("near")
 
 
 def close_mask(pixels: DataFrame, radius: int = 1) -> DataFrame:
@@ -106,15 +111,31 @@ def open_mask(pixels: DataFrame, radius: int = 1) -> DataFrame:
     return dilate(erode(pixels, radius), radius)
 
 
+def distances(mask: np.ndarray) -> np.ndarray:
+    """Distance of each cell to the nearest unset one, beyond the edges all are: down the columns, then along the rows."""
+    open_ = np.pad(mask, 1)
+    down = np.where(open_, np.inf, 0.0)
+    for r in range(1, len(down)):
+        down[r] = np.minimum(down[r], down[r - 1] + 1)
+    for r in range(len(down) - 2, -1, -1):
+        down[r] = np.minimum(down[r], down[r + 1] + 1)
+    least, square, width = np.full(down.shape, np.inf), down * down, down.shape[1]
+    for step in range(width):  # the nearest unset cell is no farther than the best so far
+        if step * step >= least.max():
+            break
+        least[:, step:] = np.minimum(least[:, step:], square[:, : width - step] + step * step)
+        least[:, : width - step] = np.minimum(least[:, : width - step], square[:, step:] + step * step)
+    return np.sqrt(least)[1:-1, 1:-1]
+
+
 def distance_map(cells: Column, height: int, width: int) -> Column:
     """Array of distances of each cell to the nearest unset one, a border of unset cells included; 0 where unset."""
-    zeros = F.concat(
-        F.filter(F.transform(cells, lambda c, i: F.when(~c, F.struct((i / width).cast("int").alias("r"), (i % width).alias("c")))), lambda s: s.isNotNull()),
-        F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(height)), lambda r: F.array(F.struct(r.alias("r"), F.lit(-1).alias("c")), F.struct(r.alias("r"), F.lit(width).alias("c"))))),
-        F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(width)), lambda c: F.array(F.struct(F.lit(-1).alias("r"), c.alias("c")), F.struct(F.lit(height).alias("r"), c.alias("c"))))),
-    )
-    near = lambda i: F.sqrt(F.array_min(F.transform(zeros, lambda z: F.pow(z["r"] - (i / width).cast("int"), 2) + F.pow(z["c"] - i % width, 2))).cast("double"))
-    return F.transform(cells, lambda c, i: F.when(c, near(i)).otherwise(0.0))
+
+    @F.pandas_udf("array<double>")
+    def far(masks: pd.Series) -> pd.Series:
+        return masks.map(lambda m: distances(np.asarray(m, bool).reshape(height, width)).ravel())
+
+    return far(cells)
 
 
 def rasterize(rings: DataFrame, cell: float = 1.0) -> DataFrame:
