@@ -180,18 +180,22 @@ def distance_map(spark, d):
 
 def best_mask(spark, d):
     """Of each label the mask with the best band, among those that overlap three other masks little enough and are wide enough."""
-    m = _pairs(spark, d, 1).withColumnRenamed("other", "tree")
-    for k, name in ((2, "house"), (3, "water")):
-        m = m.join(_pairs(spark, d, k).select("mask_id", F.col("other").alias(name)), "mask_id")
+    m = fx.masks(spark, d).select("mask_id", "label", "cells")
+    names = ("tree", "house", "water")
+    # one exchange: each mask goes to itself and to the three before it
+    sent = m.select(F.explode(F.array(*(F.struct((F.col("mask_id") - k).alias("to"), F.lit(k).alias("k")) for k in range(4)))).alias("s"), "label", "cells")
+    of = lambda k, c: F.max(F.when(F.col("s.k") == k, F.col(c)))
+    m = sent.groupBy(F.col("s.to").alias("mask_id")).agg(of(0, "label").alias("label"), of(0, "cells").alias("cells"), *(of(k, "cells").alias(name) for k, name in enumerate(names, 1)))
+    m = m.filter(" AND ".join(f"{c} IS NOT NULL" for c in ("cells", *names)))
     ok = raster.count_true(F.col("cells")) > 0
-    for name in ("tree", "house", "water"):
+    for name in names:
         ok = ok & raster.passes(raster.iou(F.col("cells"), F.col(name)), 0.33)
     c = m.filter(ok).select("mask_id", "label", raster.best_band(F.col("cells"), 8, 8).alias("b")).select("mask_id", "label", _R6("b.score").alias("score"), (F.col("b.hi") - F.col("b.lo")).cast("long").alias("width")).filter("width >= 3")
     return raster.select_best(c, "label", "score", "mask_id")
 
 
 def rasterized(spark, d):
-    r = fx.rectangles(spark, d).filter("id % 10 = 0").select("id", overlay.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
+    r = fx.rectangles(spark, d).select("id", overlay.rectangle(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("ring"))
     return raster.rasterize(r).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("r0"), F.max("col").alias("c1"))
 
 
@@ -326,7 +330,7 @@ QUERIES = {
     "best_mask": (best_mask, f"""WITH {_PIX}, {_BAND}, o AS (SELECT a.mask_id, k, sum(CASE WHEN a.is_set AND b.is_set THEN 1 ELSE 0 END) AS i, sum(CASE WHEN a.is_set OR b.is_set THEN 1 ELSE 0 END) AS u FROM px a, range(1, 4) t(k), px b WHERE b.mask_id = a.mask_id + k AND b.row = a.row AND b.col = a.col GROUP BY a.mask_id, k),
       ok AS (SELECT mask_id FROM o GROUP BY mask_id HAVING count(*) = 3 AND bool_and(u = 0 OR i / u <= 0.33)), c AS (SELECT mask_id, label, round(score, 6) AS score, CAST(hi - lo AS BIGINT) AS width FROM band WHERE mask_id IN (SELECT mask_id FROM ok) AND mask_id IN (SELECT mask_id FROM tot WHERE s > 0) AND hi - lo >= 3)
       SELECT label, mask_id, score, width FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score, mask_id) AS rn FROM c) WHERE rn = 1"""),
-    "rasterized": (rasterized, f"WITH {_RECT} SELECT id, CAST((x1 - x0) * (y1 - y0) AS BIGINT) AS n, CAST(y0 AS INT) AS r0, CAST(x1 - 1 AS INT) AS c1 FROM r WHERE id % 10 = 0"),
+    "rasterized": (rasterized, f"WITH {_RECT} SELECT id, CAST((x1 - x0) * (y1 - y0) AS BIGINT) AS n, CAST(y0 AS INT) AS r0, CAST(x1 - 1 AS INT) AS c1 FROM r"),
     "section_merge": (section_merge, "SELECT user_id * 100 + event_id % 37 AS lane_id, CASE WHEN NOT bool_or(event_type = 'error' OR value IS NULL) THEN max(abs(value)) END AS width, count(*) * 2.5 AS length, bool_or(event_type = 'error' OR value IS NULL) AS has_gap FROM events GROUP BY 1"),
     "weighted_centres": (weighted_centres, f"WITH {_PIX}, {_BAND}, b AS (SELECT label, (lo + hi) / 2 AS c, round(score, 6) AS s FROM band), t AS (SELECT label, sum(s) AS total FROM b GROUP BY label) SELECT label, round(sum((total / s) ** 2 * c) / sum((total / s) ** 2), 6) AS center FROM b JOIN t USING (label) GROUP BY label"),
     "coverage_metrics": (coverage_metrics, f"""WITH {_CELLS}, gm AS (SELECT unnest(range(x0 - 2, x1 + 2)) AS x, y0, y1 FROM r WHERE truth), m AS (SELECT DISTINCT x, unnest(range(y0 - 2, y1 + 2)) AS y FROM gm), buf AS (SELECT * FROM m EXCEPT SELECT * FROM a), bm AS (SELECT * FROM b INTERSECT SELECT * FROM m)

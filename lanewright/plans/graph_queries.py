@@ -121,11 +121,11 @@ def induced_subgraph(spark, d):
 
 def near_lane_nodes(spark, d):
     n = fx.nodes(spark, d)
-    e = fx.edges(spark, d).filter("edge_id % 10 = 0")
+    e = fx.edges(spark, d)
     at = lambda end, i: n.select(F.col("id").alias(end), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
     s = e.join(at("src", 1), "src").join(at("dst", 2), "dst")
     moved = n.select("id", (F.col("x") + 10).alias("x"), (F.col("y") + F.col("id") % 50).alias("y"))
-    return graph.near_lanes(moved, s, 40.0).select("id")
+    return graph.near_lanes(moved, s, 12.0).select("id")
 
 
 def stitched_tiles(spark, d):
@@ -233,10 +233,10 @@ QUERIES = {
     "missing_keys": (missing_keys, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"),
     "upsert_latest": (upsert_latest, "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1"),
     "induced_subgraph": (induced_subgraph, _with(_NODES, _EDGES) + "SELECT e.* FROM edges e JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst WHERE (a.gx + a.gy) % 7 <> 0 AND (b.gx + b.gy) % 7 <> 0"),
-    "near_lane_nodes": (near_lane_nodes, _with(_NODES, _EDGES, _LANES) + """, n AS (SELECT id, x + 10 AS x, y + id % 50 AS y FROM nodes), s AS (SELECT * FROM lanes WHERE lane_id % 10 = 0)
+    "near_lane_nodes": (near_lane_nodes, _with(_NODES, _EDGES, _LANES) + """, n AS (SELECT id, x + 10 AS x, y + id % 50 AS y FROM nodes), s AS (SELECT * FROM lanes)
       SELECT DISTINCT id FROM n JOIN s ON n.x BETWEEN least(x0, x1) - 41 AND greatest(x0, x1) + 41 AND n.y BETWEEN least(y0, y1) - 41 AND greatest(y0, y1) + 41
       WHERE sqrt((n.x - (x0 + greatest(0, least(1, ((n.x - x0) * (x1 - x0) + (n.y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) * (x1 - x0))) ** 2
-        + (n.y - (y0 + greatest(0, least(1, ((n.x - x0) * (x1 - x0) + (n.y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) * (y1 - y0))) ** 2) < 40"""),
+        + (n.y - (y0 + greatest(0, least(1, ((n.x - x0) * (x1 - x0) + (n.y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2))) * (y1 - y0))) ** 2) < 12"""),
     "stitched_tiles": (stitched_tiles, _with(_NODES, _EDGES) + """, n AS (SELECT id, gx // 8 AS tile, 8 * gy + gx % 8 AS local_id FROM nodes), k AS (SELECT tile, count(*) AS k FROM n GROUP BY tile),
       o AS (SELECT tile, coalesce(sum(k) OVER (ORDER BY tile ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS skip FROM k)
       SELECT a.tile, CAST(a.local_id + skip AS BIGINT) AS src, CAST(b.local_id + skip AS BIGINT) AS dst FROM edges JOIN n a ON a.id = src JOIN n b ON b.id = dst JOIN o ON o.tile = a.tile WHERE a.tile = b.tile"""),
