@@ -55,6 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the packing of what the stages leave of ``documents``.
+
+    Null and empty texts go in the first stage.  Repeated rows of an id stay or
+    go together; a null id is kept unless its text is rejected or a copy of
+    another's, and can't be reported as contaminated.  Very long texts are read
+    whole by every stage.  Further columns are kept up to the packing, whatever
+    their names.  Empty tables give no rows; without labels the classifier's
+    fixed scorer stands in.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
