@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EARTH_RADIUS = 6_371_000.0
-#: WGS84 in zone 31 north: semi-major axis, flattening, scale, false easting, central meridian in degrees.
-_A, _F, _K0, _E0, _LON0 = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 3.0
+#: WGS84 in a zone: semi-major axis, flattening, scale, false easting, false northing of the south.
+_A, _F, _K0, _E0, _SOUTH = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10_000_000.0
 _N = _F / (2 - _F)
 _RECT = _A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
 # Coefficients of the series to the fourth order.
@@ -22,27 +22,54 @@ def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
 
-def utm31(lon: Column, lat: Column) -> Column:
-    """Degrees to zone 31 north, by Krüger's series to the fourth order."""
+def utm(lon: Column, lat: Column, zone: int = 31, south: bool = False) -> Column:
+    """Degrees to a zone, by Krüger's series to the fourth order."""
     e = 2 * math.sqrt(_N) / (1 + _N)
-    phi, lam = F.radians(lat), F.radians(lon - _LON0)
+    phi, lam = F.radians(lat), F.radians(lon - (6 * zone - 183))
     s = F.sin(phi)
     atanh = lambda v: F.log((1 + v) / (1 - v)) / 2
     t = F.sinh(atanh(s) - e * atanh(e * s))
     xi, eta = F.atan2(t, F.cos(lam)), atanh(F.sin(lam) / F.sqrt(1 + t * t))
     east = eta + sum((a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(_ALPHA, 1)), F.lit(0.0))
     north = xi + sum((a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(_ALPHA, 1)), F.lit(0.0))
-    return point(_E0 + _K0 * _RECT * east, _K0 * _RECT * north)
+    return point(_E0 + _K0 * _RECT * east, _K0 * _RECT * north + _SOUTH * south)
 
 
-def utm31_inverse(x: Column, y: Column) -> Column:
-    """Zone 31 north to degrees: a point of x = longitude, y = latitude."""
-    xi0, eta0 = y / (_K0 * _RECT), (x - _E0) / (_K0 * _RECT)
+def utm_inverse(x: Column, y: Column, zone: int = 31, south: bool = False) -> Column:
+    """A zone to degrees: a point of x = longitude, y = latitude."""
+    xi0, eta0 = (y - _SOUTH * south) / (_K0 * _RECT), (x - _E0) / (_K0 * _RECT)
     xi = xi0 - sum((b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0) for j, b in enumerate(_BETA, 1)), F.lit(0.0))
     eta = eta0 - sum((b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0) for j, b in enumerate(_BETA, 1)), F.lit(0.0))
     chi = F.asin(F.sin(xi) / F.cosh(eta))
     phi = chi + sum((d * F.sin(2 * j * chi) for j, d in enumerate(_DELTA, 1)), F.lit(0.0))
-    return point(_LON0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(phi))
+    return point((6 * zone - 183) + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(phi))
+
+
+def utm31(lon: Column, lat: Column) -> Column:
+    return utm(lon, lat, 31)
+
+
+def utm31_inverse(x: Column, y: Column) -> Column:
+    return utm_inverse(x, y, 31)
+
+
+def utm_sql(lon: str, lat: str, source: str, zone: int = 31) -> str:
+    """The same projection as SQL: the columns of ``source`` with ux, uy, as common table expressions u0 to u3."""
+    e, k = 2 * math.sqrt(_N) / (1 + _N), _K0 * _RECT
+    east = " + ".join(f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))
+    north = " + ".join(f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(_ALPHA, 1))
+    return f"""u0 AS (SELECT *, radians({lat}) AS phi, radians({lon} - {6 * zone - 183}) AS lam FROM {source}), u1 AS (SELECT *, sinh(atanh(sin(phi)) - {e!r} * atanh({e!r} * sin(phi))) AS th FROM u0),
+      u2 AS (SELECT *, atan2(th, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + th * th)) AS eta FROM u1), u3 AS (SELECT *, {_E0!r} + {k!r} * (eta + {east}) AS ux, {k!r} * (xi + {north}) AS uy FROM u2)"""
+
+
+def mercator(lon: Column, lat: Column) -> Column:
+    """Degrees to the spherical web projection."""
+    return point(_A * F.radians(lon), _A * F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)))
+
+
+def mercator_inverse(x: Column, y: Column) -> Column:
+    """The spherical web projection to degrees: a point of x = longitude, y = latitude."""
+    return point(F.degrees(x / _A), F.degrees(2 * F.atan(F.exp(y / _A)) - math.pi / 2))
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -100,6 +127,17 @@ def inside(x: Column, y: Column, ring: Column) -> Column:
     return F.size(F.filter(crosses, lambda c: c)) % 2 == 1
 
 
+def strictly_inside(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point is in a ring and not on its line."""
+    nxt = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
+
+    def on(p, q):
+        within = x.between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & y.between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+        return within & ((q["x"] - p["x"]) * (y - p["y"]) == (q["y"] - p["y"]) * (x - p["x"]))
+
+    return inside(x, y, ring) & ~F.exists(F.zip_with(ring, nxt, on), lambda c: c)
+
+
 def any_vertex_within(pts: Column, minx, miny, maxx, maxy) -> Column:
     """Whether any vertex is strictly within a box."""
     return F.exists(pts, lambda p: (p["x"] > minx) & (p["x"] < maxx) & (p["y"] > miny) & (p["y"] < maxy))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanewright.functions.geom import point
 from lanewright.operators.lanes import lane_polygon
 
 #: Tables of the map that have no rows of their own.
@@ -34,6 +35,22 @@ def lanes_table(lanes: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def connectors_table(conns: DataFrame) -> DataFrame:
+    """The connector file's columns; the line joins the middles of both ends of the polygon."""
+    p = lambda i: F.col("polygon")[i]  # noqa: E731  right start, right end, left end, left start
+    middle = lambda a, b: point((a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2)
+    return conns.select(
+        "connector_id", "source", "dest", F.concat(F.lit("i"), F.col("intersection_id").cast("string")).alias("intersection_id"),
+        coordinate_text(F.array(p(3), p(2))).alias("left_boundary"), coordinate_text(F.array(p(0), p(1))).alias("right_boundary"), F.lit(1).alias("lane_type"), F.lit(True).alias("legal"),
+        coordinate_text(F.col("polygon")).alias("polygon"), F.array(middle(p(0), p(3)), middle(p(1), p(2))).alias("geometry"),
+    )
+
+
+def polygons_table(polygons: DataFrame) -> DataFrame:
+    """The polygon file's columns from (element_id, type, ring); polygons have no road type."""
+    return polygons.select("element_id", "type", F.lit(None).cast("int").alias("road_type"), F.col("ring").alias("geometry"))
+
+
 def map_nodes(rings: DataFrame) -> DataFrame:
     """(token, x, y): distinct corners of all rings."""
     p = rings.select(F.explode("ring").alias("p")).select("p.x", "p.y").distinct()
@@ -53,8 +70,8 @@ def map_lines(lanes: DataFrame) -> DataFrame:
 
 
 def map_polygons(rings: DataFrame, kind: str, key: str) -> DataFrame:
-    """(token, exterior_node_tokens)."""
-    return rings.select(token(f"{kind}_polygon", F.col(key)).alias("token"), _tokens(F.col("ring")).alias("exterior_node_tokens"))
+    """(token, exterior_node_tokens, holes); polygons have no holes."""
+    return rings.select(token(f"{kind}_polygon", F.col(key)).alias("token"), _tokens(F.col("ring")).alias("exterior_node_tokens"), F.array().cast("array<string>").alias("holes"))
 
 
 def map_lanes(lanes: DataFrame) -> DataFrame:
@@ -69,7 +86,7 @@ def map_areas(polygons: DataFrame) -> dict[str, DataFrame]:
     drivable = token("drivable_area", F.lit("all"))
     return {
         "road_segment": of("intersection").select(token("road_segment", F.col("element_id")).alias("token"), own.alias("polygon_token"), F.lit(True).alias("is_intersection"), drivable.alias("drivable_area_token")),
-        "ped_crossing": of("crosswalk").select(token("ped_crossing", F.col("element_id")).alias("token"), own.alias("polygon_token")),
+        "ped_crossing": of("crosswalk").select(token("ped_crossing", F.col("element_id")).alias("token"), own.alias("polygon_token"), F.lit("").alias("road_segment_token")),
         "walkway": of("offroad").select(token("walkway", F.col("element_id")).alias("token"), own.alias("polygon_token")),
         "drivable_area": of("intersection").groupBy().agg(F.sort_array(F.collect_list(own)).alias("polygon_tokens")).select(drivable.alias("token"), "polygon_tokens"),
     }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lanewright.plans import candidate_queries, geometry_queries, graph_queries, map_queries
+from lanewright.plans import candidate_queries, geometry_queries, graph_queries, map_queries, region_queries
 
-_ALL = graph_queries.QUERIES | geometry_queries.QUERIES | candidate_queries.QUERIES | map_queries.QUERIES
+_ALL = graph_queries.QUERIES | geometry_queries.QUERIES | candidate_queries.QUERIES | map_queries.QUERIES | region_queries.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

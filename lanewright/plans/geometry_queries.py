@@ -302,7 +302,7 @@ QUERIES = {
       pq AS (SELECT p.grp, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM g p JOIN g q ON p.grp = q.grp AND (p.x <> q.x OR p.y <> q.y)
         WHERE NOT EXISTS (SELECT 1 FROM g r WHERE r.grp = p.grp AND ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0 OR ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) = 0 AND (r.x - p.x) * (r.x - q.x) + (r.y - p.y) * (r.y - q.y) > 0))))
       SELECT grp, count(*) AS n, sum(px * qy - qx * py) / 2 AS area FROM pq GROUP BY grp"""),
-    "utm": (utm, None),
+    "utm": (utm, "WITH p AS (SELECT s_suppkey AS id, CAST(4.35 + 0.0001 * s_suppkey AS DOUBLE) AS lon, CAST(52.0 + 0.0001 * s_suppkey AS DOUBLE) AS lat FROM supplier), " + geom.utm_sql("lon", "lat", "p") + " SELECT id, round(ux, 3) AS x, round(uy, 3) AS y, round(lon, 6) AS lon, round(lat, 6) AS lat FROM u3"),
     "haversine": (haversine, """WITH p AS (SELECT s_suppkey AS id, radians(4.35 + 0.0001 * s_suppkey) AS lon, radians(52.0 + 0.0001 * s_suppkey) AS lat FROM supplier),
       a AS (SELECT id, sin((radians(52.0) - lat) / 2) ** 2 + cos(lat) * cos(radians(52.0)) * sin((radians(4.35) - lon) / 2) ** 2 AS a FROM p) SELECT id, round(2 * 6371000.0 * atan2(sqrt(a), sqrt(1 - a)), 3) AS metres FROM a"""),
     "pixel": (pixel, """WITH n AS (SELECT c_custkey AS id, 593000.0 + 50 * (c_custkey % 40) + 0.3 AS x, 5762000.0 + 50 * (c_custkey // 40) + 0.3 AS y FROM customer),
