@@ -2,7 +2,9 @@
 
 Overlapping heuristic labellers vote on two questions, whether a text is junk
 and whether it is toxic; human labels, where there are any, are one more
-labeller of each.  Expectation-maximisation estimates every labeller's
+labeller of each.  One labeller goes by families of words that are frequent in
+toxic documents; on each half of the sample it uses the words chosen on the
+other half, so it doesn't repeat the labels it is judged by.  Expectation-maximisation estimates every labeller's
 sensitivity and specificity from the votes, and the posterior labels train two
 hashed linear scorers: one on shares of word shapes and of repetition, one on
 hashed words and word beginnings.  Both are fitted on at most SAMPLE labelled
@@ -169,6 +171,15 @@ def _one_of_copies(doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
     return stay
 
 
+def _telling(doc: np.ndarray, term: np.ndarray, seed: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Terms that documents with ``seed`` have far more often than the others, of the documents ``among``, the most telling first."""
+    bad, every = np.bincount(term, weights=seed[doc], minlength=TERMS), np.bincount(term, minlength=TERMS)
+    rate = max(seed[among].mean(), 1e-6) if among.any() else 1e-6
+    z = (bad - every * rate) / np.sqrt(np.maximum(every * rate * (1 - rate), 1e-9))
+    chosen = np.flatnonzero((bad >= LEAST_DOCS) & (z >= LEAST_Z) & (bad > 0.7 * every))
+    return chosen[np.argsort(-z[chosen], kind="stable")][:MOST_TERMS]
+
+
 def fit(sample) -> Scorer:
     """``sample``: a pandas frame of the columns that ``_sampled`` gives."""
     n = len(sample)
@@ -195,18 +206,20 @@ def fit(sample) -> Scorer:
     doc, term, number = (v[alone[doc]] for v in (doc, term, number))
     insult, told = sample["insult"].to_numpy(), human("toxic", 1)
     seed = np.where(told >= 0, told, insult).astype(bool)
-    bad = np.bincount(term, weights=seed[doc], minlength=TERMS)
-    every = np.bincount(term, minlength=TERMS)
-    rate = max(seed[alone].mean(), 1e-6)
-    z = (bad - every * rate) / np.sqrt(np.maximum(every * rate * (1 - rate), 1e-9))
-    chosen = np.flatnonzero((bad >= LEAST_DOCS) & (z >= LEAST_Z) & (bad > 0.7 * every))
-    chosen = chosen[np.argsort(-z[chosen], kind="stable")][:MOST_TERMS]
+    chosen = _telling(doc, term, seed, alone)
     place = np.full(TERMS, -1)
     place[chosen] = np.arange(len(chosen))
     held = place[term] >= 0
     x = np.zeros((n, len(chosen)), np.float32)
     np.add.at(x, (doc[held], place[term[held]]), number[held])
-    family = (x.sum(1) >= 2).astype(int)
+    # halves by the documents' own terms, whatever the order of the rows
+    fold, family = np.bincount(doc, weights=term, minlength=n) % 2 == 1, np.zeros(n, int)
+    for half in (False, True):
+        other = (fold != half)[doc]
+        told_by = np.zeros(TERMS, bool)
+        told_by[_telling(doc[other], term[other], seed, alone & (fold != half))] = True
+        hits = ~other & told_by[term]
+        family |= np.bincount(doc[hits], weights=number[hits], minlength=n) >= 2
     toxic, sens, spec = estimate_accuracies(np.column_stack([insult, np.where(alone, family, -1), told]))
     accuracies |= {f"toxic:{k}": (float(a), float(b)) for k, a, b in zip(TOXIC_VOTERS, sens, spec)}
     weights, bias = _fit_linear(np.minimum(x[alone], 3), toxic[alone], rounds=1500, rate=0.05)

@@ -514,6 +514,44 @@ def test_accuracies_are_recovered():
     assert ((p > 0.5) == truth).mean() > 0.93
 
 
+def test_scores_equal_plain_loops(small):
+    import zlib as z
+    from math import exp
+
+    model = quality.Scorer(np.linspace(-3, 5, quality.SHAPES), -1.5, {z.crc32(w, 1) % quality.TERMS: 2.0 for w in (b"idiot", b"stupid")} | {z.crc32(b"wor", 4) % quality.TERMS: 9.0, z.crc32(b"word", 4) % quality.TERMS: 0.75}, -2.0, {})
+    texts = [(r.text or "").encode() for r in small.select("text").collect()] + [b"", b"WORDS word words wordy wordless! idiot, stupid; idiot", b"a " * 50, b"### $$$ !!! | |", "É ñandú 123 \u00a0x".encode()]
+
+    def plain(text):
+        words = text.split()
+        junk = 0.0
+        if words:
+            junk = model.shape_bias
+            classes = ["".join("a" if chr(c).islower() and c < 128 else "A" if chr(c).isupper() and c < 128 else "9" if 48 <= c < 58 else "u" if c > 127 else chr(c) for c in w) for w in words]
+            odd = loud = bare = 0
+            for shape in classes:
+                short = re.sub(r"(.)\1{2,}", r"\1\1", shape)[:8]
+                junk += model.shapes[z.crc32(short.encode("latin-1")) % (quality.SHAPES - 8)] / len(words)
+                odd += sum(c not in "aAu9.,;:'\"()!?-" for c in shape) > 1
+                loud += shape.count("A") > 1 and "a" not in shape
+                bare += not any(c in "aAu9" for c in shape)
+            again = sum(a == b for a, b in zip(words, words[1:])) / len(words)
+            runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+            repeats = 1 - len(set(runs)) / len(runs) if len(words) > 8 else 0.0
+            extra = (again, max(0, again - 0.2), repeats, max(0, repeats - 0.3), odd / len(words), loud / len(words), bare / len(words))
+            junk += sum(model.shapes[quality.SHAPES - 8 + i] * v for i, v in enumerate(extra))
+        counts = Counter()
+        for w in set(bytes(c for c in text.lower() if c > 127 or chr(c).isalpha() or c in b" \t\n\r\x0b\x0c").split()):
+            if len(w) > 2:
+                counts.update(b for b in [z.crc32(w, 1) % quality.TERMS, *(z.crc32(w[:k], k) % quality.TERMS for k in (4, 5, 6) if len(w) > k)] if b in model.terms)
+        toxic = model.term_bias + sum(model.terms[b] * min(k, 3) for b, k in counts.items())
+        return 1 / (1 + exp(-max(-30, min(30, junk)))), 1 / (1 + exp(-max(-30, min(30, toxic))))
+
+    junk, toxic = quality.score_texts(texts, model, quality.Shapes(), quality.Terms(model))
+    for t, j, x in zip(texts, junk, toxic):
+        a, b = plain(t)
+        assert abs(a - j) < 1e-4 and abs(b - x) < 1e-9, t[:80]
+
+
 def test_quality_hard_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     for labels in (None, none, spark.createDataFrame([(4, None, None), (4, 1, 0), (None, 0, 1), (5, 1, None)], none.schema)):
