@@ -46,12 +46,14 @@ def reverse_dedup(lines: DataFrame, key: str = "line_id", pts: str = "pts") -> D
     """Drops lines whose reverse was kept before: of each class of a line and its reverse the orientation of the first stays.
 
     Repeats in that orientation stay; of lines equal to their own reverse only the first.
+    Lines are compared by 128 bits of hashes, so no geometry is exchanged as text.
     """
     back = F.reverse(pts)
-    named = lines.withColumn("__f", F.to_json(pts)).withColumn("__b", F.to_json(back))
-    named = named.withColumn("__class", F.xxhash64(F.least("__f", "__b"))).withColumn("__low", F.least("__f", "__b"))
-    first = named.groupBy("__low").agg(F.min_by("__f", key).alias("__first"), F.min(key).alias("__first_key"))
-    kept = named.join(first, "__low").filter((F.col("__f") == F.col("__first")) & ((F.col("__f") != F.col("__b")) | (F.col(key) == F.col("__first_key"))))
+    ahead, other = ((F.xxhash64(p), F.xxhash64(F.lit("second"), p)) for p in (pts, back))
+    named = lines.withColumn("__f", F.struct(ahead[0].alias("a"), ahead[1].alias("b"))).withColumn("__own", ahead[0] == other[0])
+    named = named.withColumn("__k1", F.least(ahead[0], other[0])).withColumn("__k2", F.least(ahead[1], other[1]))  # the same for a line and its reverse
+    first = named.groupBy("__k1", "__k2").agg(F.min_by("__f", key).alias("__first"), F.min(key).alias("__first_key"))
+    kept = named.join(first, ["__k1", "__k2"]).filter((F.col("__f") == F.col("__first")) & (~F.col("__own") | (F.col(key) == F.col("__first_key"))))
     return kept.select(*lines.columns)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lanewright.functions.geom import length
 from lanewright.operators import export, graph, lanes, overlay, polyline
 from lanewright.plans.config import CONNECTIONS, GRAPHS, SEGMENTATIONS, MapConfig
+from lanewright.sources.store import stored
 
 
 @GRAPHS.add("edges")
@@ -19,9 +20,13 @@ def graph_from_edges(nodes: DataFrame, edges: DataFrame, config: MapConfig) -> D
 
 @GRAPHS.add("contracted")
 def graph_from_chains(nodes: DataFrame, edges: DataFrame, config: MapConfig) -> DataFrame:
-    """Chains between junctions are lanes, trimmed at both ends; numbered by their nodes within blocks of start nodes."""
-    roads = graph.contract(edges)
-    roads = roads.withColumn("lane_id", F.shiftright(F.xxhash64("nodes"), 12))
+    """Chains between junctions are lanes, trimmed at both ends; numbered by their nodes within ranges of start nodes."""
+    roads = stored(graph.contract(edges)).withColumn("range", F.shiftright("road_from", 16))
+    counts = roads.groupBy("range").agg(F.count(F.lit(1)).alias("k"))
+    # One row for each 65,536 ids.
+    before = F.coalesce(F.sum("k").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("nodes")) - 1
+    roads = stored(roads.join(counts.select("range", before.alias("skip")), "range").withColumn("lane_id", F.col("skip") + place).drop("range", "skip"))
     v = roads.select("lane_id", "road_from", "road_to", F.posexplode("nodes").alias("pos", "id")).join(nodes.select("id", "x", "y"), "id")
     pts = polyline.as_arrays(polyline.trim(v.select(F.col("lane_id").alias("line_id"), "pos", "x", "y"), config.trim_distance, config.max_part_trim))
     return roads.join(pts, F.col("lane_id") == F.col("line_id")).select("lane_id", F.col("road_from").alias("from_node"), F.col("road_to").alias("to_node"), F.col("lane_id").alias("lane_group"), "pts")
