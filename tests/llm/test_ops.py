@@ -337,6 +337,11 @@ def test_repeats_on_whole_table(spark, small, texts):
     assert got_repeats(small) == kept_by_hand(texts.items(), 13)
 
 
+def test_repeats_on_a_larger_table(spark, sf):
+    d = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    assert got_repeats(d) == kept_by_hand([(r.doc_id, r.text) for r in d.collect()], 13)
+
+
 def test_repeats_of_few_words_and_hard_rows(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(int(i), " ".join(rng.choice(["a", "b", "c", "é"], rng.integers(0, 40)))) for i in rng.permutation(400) - 150]
@@ -399,6 +404,40 @@ def test_near_duplicates_on_whole_table(spark, small, texts):
     assert near(small) == want
 
 
+def links_by_prefixes(rows):
+    """All links, found without MinHash: two such sets share one of each set's rarest shingles but for three quarters of its size."""
+    often, sets = Counter(), []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({hash(tuple(w[k : k + 5])) for k in range(len(w) - 4)} if len(w) >= 5 else ({hash(tuple(w))} if w else set()))
+        often.update(sets[-1])
+    held, links = {}, set()
+    for i, s in enumerate(sets):
+        order = sorted(s, key=lambda x: (often[x], x))
+        near = set()
+        for x in order[: len(s) - -(-3 * len(s) // 4) + 1]:
+            near.update(held.get(x, ()))
+            held.setdefault(x, []).append(i)
+        links |= {(rows[j][0], rows[i][0]) for j in near if 100 * len(s & sets[j]) >= 75 * len(s | sets[j])}
+    return links
+
+
+def test_recall_on_ten_thousand_documents(spark, sf):
+    d = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text")
+    links = links_by_prefixes([(r.doc_id, r.text) for r in d.collect()])
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(d).collect()}
+    parent = {i: i for i in got}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    assert len(links) > 500 and all(got[i] == root(i) for i in got)
+
+
 def test_clouds_of_edited_copies(spark):
     rng = np.random.default_rng(2)
     rows = []
