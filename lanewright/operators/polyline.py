@@ -146,6 +146,11 @@ def simplify(points: DataFrame, tolerance: float) -> DataFrame:
     return rows.mapInArrow(keep, f"line_id {kinds['line_id']}, pos {kinds['pos']}, x double, y double")
 
 
+def boundary(points: DataFrame, distance: float, tolerance: float = 0.1) -> DataFrame:
+    """(line_id, pos, x, y): the parallel at ``distance``, simplified."""
+    return simplify(offset(points, distance), tolerance)
+
+
 def hull_points(x: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
     """Convex hull, counter-clockwise from the lowest x; fewer than three points if all lie on a line."""
     pts = sorted(set(zip(x.tolist(), y.tolist())))

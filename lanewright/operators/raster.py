@@ -111,6 +111,12 @@ def open_mask(pixels: DataFrame, radius: int = 1) -> DataFrame:
     return dilate(erode(pixels, radius), radius)
 
 
+def fill_cavities(pixels: DataFrame, radius: int = 1) -> DataFrame:
+    """Set where both the closed and the opened mask are."""
+    opened = open_mask(pixels, radius).withColumnRenamed("is_set", "opened")
+    return close_mask(pixels, radius).join(opened, ["mask_id", "row", "col"]).withColumn("is_set", F.col("is_set") & F.col("opened")).drop("opened")
+
+
 def distances(mask: np.ndarray) -> np.ndarray:
     """Distance of each cell to the nearest unset one, beyond the edges all are: down the columns, then along the rows."""
     open_ = np.pad(mask, 1)

@@ -34,9 +34,9 @@ def graph_from_chains(nodes: DataFrame, edges: DataFrame, config: MapConfig) ->
 
 @SEGMENTATIONS.add("graph")
 def lanes_by_width(lane_rows: DataFrame, config: MapConfig) -> DataFrame:
-    """Boundaries at half the lane width on both sides of the centre line."""
+    """Boundaries at half the lane width on both sides of the centre line, simplified by the configured tolerance."""
     points = lane_rows.select(F.col("lane_id").alias("line_id"), F.posexplode("pts").alias("pos", "p")).select("line_id", "pos", "p.x", "p.y")
-    side = lambda d, name: polyline.as_arrays(polyline.offset(points, d)).select(F.col("line_id").alias(f"{name}_id"), F.col("pts").alias(name))
+    side = lambda d, name: polyline.as_arrays(polyline.boundary(points, d, config.boundary_tolerance)).select(F.col("line_id").alias(f"{name}_id"), F.col("pts").alias(name))
     left, right = side(config.lane_width / 2, "boundary_left"), side(-config.lane_width / 2, "boundary_right")
     j = lane_rows.join(left, F.col("lane_id") == F.col("boundary_left_id")).join(right, F.col("lane_id") == F.col("boundary_right_id"))
     return j.drop("boundary_left_id", "boundary_right_id").withColumn("width", F.lit(config.lane_width)).withColumn("length", length(F.col("pts")))

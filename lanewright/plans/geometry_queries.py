@@ -173,6 +173,11 @@ def opened_masks(spark, d):
     return c.filter("is_set").groupBy("mask_id").agg(F.count(F.lit(1)).alias("n_set"), F.sum(F.col("row") * 8 + F.col("col")).alias("places"))
 
 
+def filled_masks(spark, d):
+    c = raster.fill_cavities(fx.pixels(spark, d).select("mask_id", "row", "col", "is_set"))
+    return c.filter("is_set").groupBy("mask_id").agg(F.count(F.lit(1)).alias("n_set"), F.sum(F.col("row") * 8 + F.col("col")).alias("places"))
+
+
 def distance_map(spark, d):
     m = fx.masks(spark, d).select("mask_id", F.posexplode(raster.distance_map(F.col("cells"), 8, 8)).alias("i", "dist"))
     return m.groupBy("mask_id").agg(F.max("dist").alias("far"), F.round(F.sum("dist"), 6).alias("total"))
@@ -263,10 +268,13 @@ _BAND = """rs AS (SELECT mask_id, label, row, sum(CASE WHEN is_set THEN 1 ELSE 0
   band AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mask_id ORDER BY score, lo, hi) AS rn FROM sc) WHERE rn = 1)"""
 
 
+def _step(src, how):
+    return f"SELECT a.mask_id, a.row, a.col, {'bool_or' if how == 'max' else 'bool_and'}(b.is_set) AS is_set FROM {src} a JOIN {src} b ON a.mask_id = b.mask_id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY a.mask_id, a.row, a.col"
+
+
 def _morph(first, second):
     """SQL of two steps over 3 x 3 squares: max dilates, min erodes."""
-    step = lambda src, how: f"SELECT a.mask_id, a.row, a.col, {'bool_or' if how == 'max' else 'bool_and'}(b.is_set) AS is_set FROM {src} a JOIN {src} b ON a.mask_id = b.mask_id AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1 GROUP BY a.mask_id, a.row, a.col"
-    return f"WITH {_PIX}, s1 AS ({step('px', first)}), s2 AS ({step('s1', second)}) SELECT mask_id, count(*) AS n_set, CAST(sum(row * 8 + col) AS BIGINT) AS places FROM s2 WHERE is_set GROUP BY mask_id"
+    return f"WITH {_PIX}, s1 AS ({_step('px', first)}), s2 AS ({_step('s1', second)}) SELECT mask_id, count(*) AS n_set, CAST(sum(row * 8 + col) AS BIGINT) AS places FROM s2 WHERE is_set GROUP BY mask_id"
 
 
 _ENDS = "e AS (SELECT line_id, arg_min(x, pos) AS ax, arg_min(y, pos) AS ay, arg_max(x, pos) AS bx, arg_max(y, pos) AS b_y FROM p GROUP BY line_id)"
@@ -324,6 +332,8 @@ QUERIES = {
     "mask_runs": (mask_runs, f"""WITH {_PIX}, s AS (SELECT *, row - row_number() OVER (PARTITION BY mask_id, col ORDER BY row) AS g FROM px WHERE is_set) SELECT mask_id, CAST(col AS INT) AS col, CAST(min(row) AS INT) AS start, CAST(max(row) + 1 AS INT) AS stop FROM s GROUP BY mask_id, col, g"""),
     "closed_masks": (closed_masks, _morph("max", "min")),
     "opened_masks": (opened_masks, _morph("min", "max")),
+    "filled_masks": (filled_masks, f"""WITH {_PIX}, c1 AS ({_step('px', 'max')}), c2 AS ({_step('c1', 'min')}), o1 AS ({_step('px', 'min')}), o2 AS ({_step('o1', 'max')})
+      SELECT mask_id, count(*) AS n_set, CAST(sum(row * 8 + col) AS BIGINT) AS places FROM c2 JOIN o2 USING (mask_id, row, col) WHERE c2.is_set AND o2.is_set GROUP BY mask_id"""),
     "distance_map": (distance_map, f"""WITH {_PIX}, z AS (SELECT mask_id, row, col FROM px WHERE NOT is_set UNION ALL SELECT vec_id, r, c FROM embeddings, range(-1, 9) a(r), range(-1, 9) b(c) WHERE r IN (-1, 8) OR c IN (-1, 8)),
       d AS (SELECT p.mask_id, p.row, p.col, CASE WHEN p.is_set THEN sqrt(min((p.row - z.row) ** 2 + (p.col - z.col) ** 2)) ELSE 0 END AS dist FROM px p JOIN z USING (mask_id) GROUP BY p.mask_id, p.row, p.col, p.is_set)
       SELECT mask_id, max(dist) AS far, round(sum(dist), 6) AS total FROM d GROUP BY mask_id"""),
