@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewright.functions.geom import point
+from lanewright.functions.geom import point, segment_lengths
 from lanewright.operators.lanes import lane_polygon
 
 #: Tables of the map that have no rows of their own.
@@ -22,6 +22,23 @@ def coordinate_text(pts: Column) -> Column:
     return F.array_join(F.transform(pts, lambda p: F.concat(F.lit("("), p["x"].cast("string"), F.lit(", "), p["y"].cast("string"), F.lit(")"))), ", ")
 
 
+def coordinates(text: Column) -> Column:
+    """Points of ``coordinate_text``."""
+    pairs = F.split(F.regexp_replace(text, r"^\(|\)$", ""), r"\), \(")
+    return F.transform(F.filter(pairs, lambda v: v != ""), lambda v: point(F.split(v, ", ")[0].cast("double"), F.split(v, ", ")[1].cast("double")))
+
+
+def map_arclines(lanes: DataFrame, conns: DataFrame) -> DataFrame:
+    """(token, t, c, k): the centreline of every lane and connector as a spline of degree 1, knots by share of the length, ends twice."""
+    middle = lambda a, b: point((F.col("polygon")[a]["x"] + F.col("polygon")[b]["x"]) / 2, (F.col("polygon")[a]["y"] + F.col("polygon")[b]["y"]) / 2)
+    rows = lanes.select(token("lane", F.col("lane_id")).alias("token"), "pts").union(conns.select(token("connector", F.col("connector_id")).alias("token"), F.array(middle(0, 3), middle(1, 2)).alias("pts")))
+    sums = F.aggregate(segment_lengths(F.col("pts")), F.array(F.lit(0.0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    rows = rows.withColumn("sums", sums)
+    share = F.transform("sums", lambda v: F.coalesce(v / F.nullif(F.element_at("sums", -1), F.lit(0.0)), F.lit(0.0)))
+    rows = rows.withColumn("u", share)
+    return rows.select("token", F.concat(F.slice("u", 1, 1), F.col("u"), F.slice("u", -1, 1)).alias("t"), F.transform("pts", lambda p: F.array(p["x"], p["y"])).alias("c"), F.lit(1).alias("k"))
+
+
 def lanes_table(lanes: DataFrame, links: DataFrame) -> DataFrame:
     """The lane file's columns: ids, neighbours and boundaries as text, polygon."""
     ids = lambda phase: F.array_join(F.transform(F.array_sort(F.filter(F.collect_list(F.when(F.col("phase") == phase, F.col("other"))), lambda v: v.isNotNull())), lambda v: v.cast("string")), ", ")

@@ -63,7 +63,7 @@ def map_tables(made: dict[str, DataFrame]) -> dict[str, DataFrame]:
     rings = ls.select("ring").union(conns.select("ring")).union(polys.select("ring"))
     polygons = export.map_polygons(ls, "lane", "lane_id").union(export.map_polygons(conns, "connector", "connector_id")).union(export.map_polygons(polys, "area", "element_id"))
     connector_rows = conns.select(export.token("connector", F.col("connector_id")).alias("token"), export.token("connector_polygon", F.col("connector_id")).alias("polygon_token"))
-    tables = {"node": export.map_nodes(rings), "line": export.map_lines(made["lanes"]), "polygon": polygons, "lane": export.map_lanes(made["lanes"]), "lane_connector": connector_rows, "connectivity": export.connectivity(made["connectors"]), "canvas_edge": export.canvas(rings)}
+    tables = {"node": export.map_nodes(rings), "line": export.map_lines(made["lanes"]), "polygon": polygons, "lane": export.map_lanes(made["lanes"]), "lane_connector": connector_rows, "connectivity": export.connectivity(made["connectors"]), "canvas_edge": export.canvas(rings), "arcline_path_3": export.map_arclines(made["lanes"], made["connectors"])}
     empty = tables["lane"].select("token").limit(0)
     return tables | export.map_areas(polys) | {name: empty for name in export.EMPTY_TABLES}
 
