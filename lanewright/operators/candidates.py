@@ -169,3 +169,71 @@ def smoothed(points: DataFrame, smoothing: float) -> DataFrame:
 def wedge(origin: Column, arc: Column, outer: Column | None = None) -> Column:
     """A turn filler: the ring of an arc and its origin, or of an arc and a second one walked backwards."""
     return F.concat(arc, F.reverse(outer)) if outer is not None else F.concat(arc, F.array(origin))
+
+
+def _crossing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where segments (rows of two points) meet, and whether within both."""
+    r, s, d = a[:, 1] - a[:, 0], b[:, 1] - b[:, 0], b[:, 0] - a[:, 0]
+    det = r[:, 0] * s[:, 1] - r[:, 1] * s[:, 0]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t, u = (d[:, 0] * s[:, 1] - d[:, 1] * s[:, 0]) / det, (d[:, 0] * r[:, 1] - d[:, 1] * r[:, 0]) / det
+    within = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    return a[:, 0] + np.where(within, t, 0)[:, None] * r, within
+
+
+def filler_rings(road: np.ndarray, first: np.ndarray, second: np.ndarray, reach: float, steps: int) -> list[np.ndarray | None]:
+    """``turn_fillers`` of rows of three road points and two sections of two points each."""
+    cross = lambda p, q: p[..., 0] * q[..., 1] - p[..., 1] * q[..., 0]
+    turn = cross(road[:, 1] - road[:, 0], road[:, 2] - road[:, 1])
+    outer = [(cross((road[:, k + 1] - road[:, k])[:, None], pair - road[:, k][:, None]) > 0) == (turn <= 0)[:, None] for k, pair in enumerate((first, second))]
+    longer = []
+    for pair in (first, second):
+        along = pair[:, 1] - pair[:, 0]
+        along = along / np.maximum(np.linalg.norm(along, axis=1), 1e-300)[:, None] * reach
+        longer.append(np.stack([pair[:, 0] - along, pair[:, 1] + along], axis=1))
+    (near, crossed), (far, meets) = _crossing(first, second), _crossing(*longer)
+    out: list[np.ndarray | None] = []
+    for k in range(len(road)):
+        a, b = first[k][outer[0][k]], second[k][outer[1][k]]
+        if not (len(a) and len(b) and (crossed[k] or meets[k])):
+            out.append(None)
+            continue
+        o = near[k] if crossed[k] else far[k]
+        u, v = (a[0] - o, b[0] - o) if crossed[k] else (first[k][1] - first[k][0], second[k][1] - second[k][0])
+        s, e = math.atan2(u[1], u[0]), math.atan2(v[1], v[0])
+        if abs(s - e) > math.pi:
+            s, e = (s + 2 * math.pi, e) if s < 0 else (s, e + 2 * math.pi)
+        at = np.linspace(min(s, e) - 0.05, max(s, e) + 0.05, steps)
+        swept = lambda r: o + r * np.stack([np.cos(at), np.sin(at)], axis=1)  # noqa: B023, E731
+        if crossed[k]:
+            out.append(np.concatenate([swept(min(np.linalg.norm(a - o), np.linalg.norm(b - o))), o[None]]))
+            continue
+        inner, beside = [], []
+        for pair in (first[k], second[k]):
+            along = pair[1] - pair[0]
+            t = min(1.0, max(0.0, float((o - pair[0]) @ along / max(along @ along, 1e-300))))
+            beside.append(np.linalg.norm(o - pair[0] - t * along))
+            inner.append(np.linalg.norm(pair - o, axis=1).max())
+        out.append(np.concatenate([swept(min(inner)), swept(max(beside))[::-1]]))
+    return out
+
+
+def turn_fillers(turns: DataFrame, reach: float = 50.0, steps: int = 100) -> DataFrame:
+    """``turns`` with ``ring``, which fills a turn of a road between two cross sections; null if there is none.
+
+    Columns p0, p1, p2 (the road's points) and first, second (the sections,
+    arrays of two points).  Sections that cross leave a wedge from the crossing
+    to their outer ends, with the nearer end's distance; others the part of a
+    ring around the place where they meet when made ``reach`` longer at both ends.
+    """
+    flat = F.concat(F.array("p0", "p1", "p2"), "first", "second")
+
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def ring(points: pd.Series) -> pd.Series:
+        if not len(points):
+            return pd.Series([], dtype=object)
+        p = np.stack(points.to_list()).reshape(-1, 7, 2)
+        rings = filler_rings(p[:, :3], p[:, 3:5], p[:, 5:], reach, steps)
+        return pd.Series([None if r is None else [{"x": x, "y": y} for x, y in r.tolist()] for r in rings])
+
+    return turns.withColumn("ring", ring(F.flatten(F.transform(flat, lambda p: F.array(p["x"], p["y"])))))

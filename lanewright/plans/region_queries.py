@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from lanewright.functions import fixtures as fx
 from lanewright.functions import geom
-from lanewright.operators import export, lanes, overlay, polyline, raster, regions
+from lanewright.operators import candidates, export, lanes, overlay, polyline, raster, regions
 from lanewright.plans.geometry_queries import _AFFINE, _M, _P, _PIX, _RECT
 from lanewright.plans.graph_queries import _ALL, _EDGES, _NODES, _with
 
@@ -137,6 +137,19 @@ def _strip_segments(spark, d):
     return e.select("line_id", "s.*")
 
 
+def turn_fillers(spark, d):
+    """Fillers between sections 40 long that end 3 before and start 3 after every inner vertex of the lines."""
+    w = Window.partitionBy("line_id").orderBy("pos")
+    p = fx.lines(spark, d).select("line_id", "pos", "x", "y", *(F.lag(c, k).over(w).alias(f"{c}{k}") for c in "xy" for k in (1, 2))).filter("x2 is not null")
+    n = lambda ax, ay, bx, by: F.hypot(F.col(bx) - F.col(ax), F.col(by) - F.col(ay))
+    p = p.withColumn("ux", (F.col("x1") - F.col("x2")) / n("x2", "y2", "x1", "y1")).withColumn("uy", (F.col("y1") - F.col("y2")) / n("x2", "y2", "x1", "y1"))
+    p = p.withColumn("vx", (F.col("x") - F.col("x1")) / n("x1", "y1", "x", "y")).withColumn("vy", (F.col("y") - F.col("y1")) / n("x1", "y1", "x", "y"))
+    section = lambda k, ux, uy: F.array(*(geom.point(F.col("x1") + k * F.col(ux) - s * F.col(uy), F.col("y1") + k * F.col(uy) + s * F.col(ux)) for s in (20, -20)))
+    p = p.select("line_id", "pos", geom.point(F.col("x2"), F.col("y2")).alias("p0"), geom.point(F.col("x1"), F.col("y1")).alias("p1"), geom.point(F.col("x"), F.col("y")).alias("p2"), section(-3, "ux", "uy").alias("first"), section(3, "vx", "vy").alias("second"))
+    p = candidates.turn_fillers(p)
+    return p.filter("ring is not null").select("line_id", F.col("pos").cast("long").alias("pos"), F.size("ring").cast("long").alias("n"), F.round(geom.ring_area(F.col("ring")), 4).alias("area"))
+
+
 def warped_strips(spark, d):
     p = fx.pixels(spark, d).select(F.col("mask_id").alias("line_id"), "row", "col", "is_set")
     w = raster.warp(p, _strip_segments(spark, d), 4)
@@ -191,6 +204,15 @@ QUERIES = {
     "typed_areas": (typed_areas, f"""WITH {_TYPED} SELECT 'road_segment' AS kind, {_TOKEN("road_segment", "id")} AS token, {_TOKEN("area_polygon", "id")} AS polygon_token, {_TOKEN("drivable_area", "'all'")} AS other FROM t WHERE type = 'intersection'
       UNION ALL SELECT 'ped_crossing', {_TOKEN("ped_crossing", "id")}, {_TOKEN("area_polygon", "id")}, '' FROM t WHERE type = 'crosswalk' UNION ALL SELECT 'walkway', {_TOKEN("walkway", "id")}, {_TOKEN("area_polygon", "id")}, NULL FROM t WHERE type = 'offroad'
       UNION ALL SELECT 'drivable_area', {_TOKEN("drivable_area", "'all'")}, CAST(count(*) AS VARCHAR), NULL FROM t WHERE type = 'intersection'"""),
+    # s and t say where the lines of both sections meet, from their middles on; a sector of 100 points has 99 triangles
+    "turn_fillers": (turn_fillers, f"""WITH {_P}, q AS (SELECT line_id, pos, x, y, lag(x) OVER w AS x1, lag(y) OVER w AS y1, lag(x, 2) OVER w AS x2, lag(y, 2) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY line_id ORDER BY pos)),
+      u AS (SELECT line_id, pos, (x1 - x2) / sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) AS ux, (y1 - y2) / sqrt((x1 - x2) ** 2 + (y1 - y2) ** 2) AS uy, (x - x1) / sqrt((x - x1) ** 2 + (y - y1) ** 2) AS vx, (y - y1) / sqrt((x - x1) ** 2 + (y - y1) ** 2) AS vy FROM q WHERE x2 IS NOT NULL),
+      m AS (SELECT *, ux * vy - uy * vx AS turn, 3 * (ux + vx) AS dx, 3 * (uy + vy) AS dy FROM u), st AS (SELECT *, (dx * vx + dy * vy) / turn AS s, (dx * ux + dy * uy) / turn AS t, CASE WHEN turn > 0 THEN -20 ELSE 20 END AS side FROM m WHERE turn <> 0),
+      c AS (SELECT *, abs(s) <= 20 AND abs(t) <= 20 AS crossed, sign(side - s) AS fs, sign(side - t) AS ft FROM st WHERE abs(s) <= 70 AND abs(t) <= 70),
+      a AS (SELECT *, CASE WHEN crossed THEN atan2(fs * ux, -fs * uy) ELSE atan2(-ux, uy) END AS a0, CASE WHEN crossed THEN atan2(ft * vx, -ft * vy) ELSE atan2(-vx, vy) END AS a1 FROM c),
+      w AS (SELECT *, CASE WHEN abs(a0 - a1) > pi() THEN abs(abs(a0 - a1) - 2 * pi()) ELSE abs(a0 - a1) END + 0.1 AS sweep FROM a)
+      SELECT line_id, pos, CAST(CASE WHEN crossed THEN 101 ELSE 200 END AS BIGINT) AS n, round(99 / 2.0 * sin(sweep / 99) * CASE WHEN crossed THEN least(abs(side - s), abs(side - t)) ** 2
+        ELSE abs(least(abs(s) + 20, abs(t) + 20) ** 2 - greatest(greatest(abs(s) - 20, 0), greatest(abs(t) - 20, 0)) ** 2) END, 4) AS area FROM w"""),
     "warped_strips": (warped_strips, f"WITH {_STRIP} SELECT line_id, count(*) AS n, CAST(sum(CASE WHEN is_set THEN r * 100 + c ELSE 0 END) AS BIGINT) AS places FROM w GROUP BY line_id"),
     "unwarped_masks": (unwarped_masks, f"WITH {_STRIP}, o AS (SELECT DISTINCT line_id, src_row, src_col FROM w WHERE is_set) SELECT line_id, count(*) AS n, CAST(sum(src_row * 100 + src_col) AS BIGINT) AS places FROM o GROUP BY line_id"),
 }
