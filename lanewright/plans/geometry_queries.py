@@ -59,7 +59,7 @@ def line_fit(spark, d):
 
 
 def simplified(spark, d):
-    return polyline.simplify(fx.lines(spark, d), 20.0)
+    return polyline.simplify(fx.lines(spark, d), 20.0).withColumn("pos", F.col("pos").cast("long"))
 
 
 def hulls(spark, d):
@@ -305,7 +305,16 @@ QUERIES = {
       SELECT line_id, pos, round(acos(greatest(-1, least(1, (ax * bx + ay * b_y) / (sqrt(ax ** 2 + ay ** 2) * sqrt(bx ** 2 + b_y ** 2))))), 6) AS angle FROM q WHERE ax IS NOT NULL AND bx IS NOT NULL"""),
     "line_fit": (line_fit, f"""WITH {_P}, {_ENDS}, a AS (SELECT *, atan2(b_y - ay, bx - ax) AS t FROM e), f AS (SELECT line_id, (x - ax) * cos(t) + (y - ay) * sin(t) AS u, (y - ay) * cos(t) - (x - ax) * sin(t) AS v, sqrt((bx - ax) ** 2 + (b_y - ay) ** 2) AS l FROM p JOIN a USING (line_id))
       SELECT line_id, round(regr_slope(v, u), 6) AS slope, round(regr_intercept(v, u), 4) AS intercept, round(max(l), 6) AS length FROM f GROUP BY line_id"""),
-    "simplified": (simplified, None),
+    # a stretch whose farthest vertex is beyond the tolerance is cut there; the ends of all stretches stay
+    "simplified": (simplified, f"""WITH RECURSIVE {_P}, seg AS (
+      SELECT line_id, CAST(min(pos) AS BIGINT) AS a, CAST(max(pos) AS BIGINT) AS b FROM p GROUP BY line_id
+      UNION ALL SELECT line_id, CASE WHEN half = 0 THEN a ELSE k END, CASE WHEN half = 0 THEN k ELSE b END FROM (
+        SELECT line_id, a, b, arg_min(pos, (-far, pos)) AS k FROM (
+          SELECT line_id, a, b, pos, sqrt((vx - fx - t * (lx - fx)) ** 2 + (vy - fy - t * (ly - fy)) ** 2) AS far FROM (
+            SELECT s.line_id, s.a, s.b, v.pos, v.x AS vx, v.y AS vy, f.x AS fx, f.y AS fy, l.x AS lx, l.y AS ly, greatest(0.0, least(1.0, ((v.x - f.x) * (l.x - f.x) + (v.y - f.y) * (l.y - f.y)) / ((l.x - f.x) ** 2 + (l.y - f.y) ** 2))) AS t
+            FROM seg s JOIN p f ON f.line_id = s.line_id AND f.pos = s.a JOIN p l ON l.line_id = s.line_id AND l.pos = s.b JOIN p v ON v.line_id = s.line_id AND v.pos > s.a AND v.pos < s.b))
+        GROUP BY line_id, a, b HAVING max(far) > 20.0) c, range(2) h(half))
+      SELECT line_id, pos, CAST(x AS DOUBLE) AS x, y FROM (SELECT line_id, a AS pos FROM seg UNION SELECT line_id, b FROM seg) JOIN p USING (line_id, pos)"""),
     "hulls": (hulls, """WITH g AS (SELECT DISTINCT label AS grp, round(1e4 * CAST(embedding[1] AS DOUBLE)) AS x, round(1e4 * CAST(embedding[2] AS DOUBLE)) AS y FROM embeddings),
       pq AS (SELECT p.grp, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM g p JOIN g q ON p.grp = q.grp AND (p.x <> q.x OR p.y <> q.y)
         WHERE NOT EXISTS (SELECT 1 FROM g r WHERE r.grp = p.grp AND ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) < 0 OR ((q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x) = 0 AND (r.x - p.x) * (r.x - q.x) + (r.y - p.y) * (r.y - q.y) > 0))))
