@@ -31,15 +31,18 @@ SCRIPTS = [(0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "arme
 _STARTS = np.array([a for a, _ in SCRIPTS])
 _NAMES = sorted({name for _, name in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(name) for _, name in SCRIPTS])
+_NOT_LETTERS = re.compile(r"(?:[^\w\n]|[\d_])+")
 #: Signs that count as word characters without being letters or digits: fractions, Roman and circled numbers and the like.
-_NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_NOT_LETTERS = re.compile(rf"(?:[^\w\n]|[\d_{_NUMERALS}])+")
+_NUMERALS = frozenset(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WITHOUT = {ord(c): None for c in _NUMERALS}
 _SEEDS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
 def read_words(words: list[bytes]):
     """(letters of each word, its script or -1, words of the grams, grams): grams are hashed trigrams of the letters with both ends marked."""
     text = _NOT_LETTERS.sub("", "\n" + b"\n".join(words).decode(errors="replace").lower() + "\n")
+    if not _NUMERALS.isdisjoint(text):
+        text = text.translate(_WITHOUT)
     code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     end = code == 10
     of = np.cumsum(end) - 1
