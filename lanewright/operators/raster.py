@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lanewright.functions.geom import bounds, inside
-
 
 def count_true(cells: Column) -> Column:
     return F.size(F.filter(cells, lambda c: c))
@@ -144,12 +143,74 @@ def distance_map(cells: Column, height: int, width: int) -> Column:
     return far(cells)
 
 
+def _crossings(x: np.ndarray, y: np.ndarray, ring: np.ndarray, cell: float, most: int):
+    """Where the lines of cell centres cross rings, given as vertices: (ring, row, x) by ring, row and x, whole rings' rows, about ``most`` at a time."""
+    centre = lambda k: (k + 0.5) * cell
+    last = np.flatnonzero(np.diff(ring, append=-1))
+    nxt = np.arange(1, len(x) + 1)
+    nxt[last] = np.append(0, last[:-1] + 1)[: len(last)]
+    qx, qy = x[nxt], y[nxt]
+    low, high = first_at(np.minimum(y, qy), cell), first_at(np.maximum(y, qy), cell)
+    total = np.zeros(len(x), np.int64)  # rows up to the end of each ring
+    total[last] = np.diff(np.cumsum(high - low)[last], prepend=0)
+    total = np.cumsum(total)
+    a = 0
+    while a < len(x):
+        done = total[a - 1] if a else 0
+        fits = last[total[last] <= done + most]
+        b = max(int(fits[-1]) if len(fits) else 0, int(last[np.searchsorted(last, a)])) + 1
+        bottom, top = int(low[a:b].min()), int(high[a:b].max())
+        step = top - bottom if total[b - 1] - done <= most else max(1, most // (b - a))  # one large ring: some rows at a time
+        for k0 in range(bottom, top, max(1, step)):
+            from_, to = np.clip(low[a:b], k0, k0 + step), np.clip(high[a:b], k0, k0 + step)
+            n = to - from_
+            e = np.repeat(np.arange(a, b), n)
+            row = np.arange(len(e)) + np.repeat(from_ - np.cumsum(n) + n, n)
+            at = (qx[e] - x[e]) * (centre(row) - y[e]) / (qy[e] - y[e]) + x[e]
+            order = np.lexsort((at, row, ring[e]))
+            yield ring[e][order], row[order], at[order]
+        a = b
+
+
+def first_at(v: np.ndarray, cell: float) -> np.ndarray:
+    """The first cell whose centre is at ``v`` or beyond."""
+    k = np.ceil(v / cell - 0.5).astype(np.int64)
+    k -= (k - 0.5) * cell >= v
+    return k + ((k + 0.5) * cell < v)
+
+
+def ring_runs(rings: DataFrame, cell: float = 1.0, most: int = 1 << 19) -> DataFrame:
+    """(id, row, start, stop): runs of cells whose centre is in the ring (x along columns, y along rows), stop exclusive.
+
+    Between two crossings of a row's centre line with the ring all centres are
+    inside or none is, so the work grows with the rows and not with the cells.
+    Vertices without a coordinate are left out.
+    """
+    kind = rings.schema["id"].dataType.simpleString()
+
+    def runs(batches):
+        for batch in batches:
+            pts = batch.column("ring")
+            flat, ring = pts.flatten(), np.repeat(np.arange(len(pts)), pts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            x, y = (np.asarray(flat.field(c).to_numpy(zero_copy_only=False), float) for c in "xy")
+            there = ~(np.isnan(x) | np.isnan(y) | np.asarray(flat.is_null()))
+            x, y, ring = x[there], y[there], ring[there]
+            if np.isinf(x).any() or np.isinf(y).any():
+                raise ValueError("a ring has an infinite coordinate")
+            for of, row, at in _crossings(x, y, ring, cell, most):
+                start, stop = first_at(at[0::2], cell), first_at(at[1::2], cell)
+                some = start < stop
+                ints = [pa.array(v[some]).cast(pa.int32()) for v in (row[0::2], start, stop)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of[0::2][some])), *ints], names=["id", "row", "start", "stop"])
+
+    points = F.transform("ring", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    # dealt anew, as a file of few blocks holds rings of many rows
+    return rings.select("id", points.alias("ring")).repartition("id").mapInArrow(runs, f"id {kind}, row int, start int, stop int")
+
+
 def rasterize(rings: DataFrame, cell: float = 1.0) -> DataFrame:
     """(id, row, col): cells whose centre is in the ring (x along columns, y along rows)."""
-    b = rings.withColumn("b", bounds(F.col("ring")))
-    lo, hi = (lambda v: F.floor(v / cell).cast("int")), (lambda v: F.greatest(F.floor(v / cell), F.ceil(v / cell) - 1).cast("int"))
-    b = b.withColumn("row", F.explode(F.sequence(lo(F.col("b.miny")), hi(F.col("b.maxy"))))).withColumn("col", F.explode(F.sequence(lo(F.col("b.minx")), hi(F.col("b.maxx")))))
-    return b.filter(inside((F.col("col") + 0.5) * cell, (F.col("row") + 0.5) * cell, F.col("ring"))).select("id", "row", "col")
+    return ring_runs(rings, cell).select("id", "row", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)).alias("col"))
 
 
 def warp_rows(segments: DataFrame, width: int) -> DataFrame:

@@ -163,3 +163,27 @@ def test_registry_rejects_unknown():
 
     with pytest.raises(ValueError):
         GRAPHS.get("nothing")
+
+
+def test_ring_runs_are_the_cells_whose_centre_is_inside(spark):
+    rng = np.random.default_rng(5)
+    rings = [(i, [(float(x), float(y)) for x, y in rng.integers(-6, 7, (n, 2)) * c]) for i, (n, c) in enumerate([(1, 1.0), (3, 1.0), (4, 0.5), (5, 0.77), (9, 1.0), (7, 0.77)])]
+    df = spark.createDataFrame([*rings, (6, None), (7, [])], "id long, ring array<struct<x:double,y:double>>")
+
+    def inside(x, y, ring):
+        return sum((p[1] > y) != (q[1] > y) and x < (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0] for p, q in zip(ring, ring[1:] + ring[:1])) % 2
+
+    for cell in (1.0, 0.3):
+        n = int(8 / cell)
+        want = sorted((i, r, c) for i, ring in rings for r in range(-n, n) for c in range(-n, n) if inside((c + 0.5) * cell, (r + 0.5) * cell, ring))
+        assert want and sorted(map(tuple, raster.rasterize(df, cell).collect())) == want
+        for most in (1, 40):  # part of a ring at a time
+            cut = raster.ring_runs(df, cell, most).selectExpr("id", "row", "explode(sequence(start, stop - 1)) as col")
+            assert sorted(map(tuple, cut.collect())) == want
+
+
+def test_rasterize_takes_time_by_rows_not_cells(spark):
+    side = 200_000.0  # 40 billion cells
+    df = spark.createDataFrame([(1, [(0.0, 0.0), (side, 0.0), (side, side), (0.0, side)])], "id long, ring array<struct<x:double,y:double>>")
+    got = raster.ring_runs(df).selectExpr("count(*) as rows", "sum(cast(stop - start as long)) as n", "max(row) as r", "min(start) as c").first()
+    assert tuple(got) == (200_000, 40_000_000_000, 199_999, 0)
