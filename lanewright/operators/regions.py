@@ -83,22 +83,28 @@ def tiles(images: DataFrame, size: int) -> DataFrame:
 def resample_bilinear(pixels: DataFrame, resolution: float, target: float) -> DataFrame:
     """(mask_id, row, col, value): rasters of int(size * resolution / target) pixels, each from the four nearest of the old.
 
-    An empty new raster is an error.
+    Every old pixel goes to the new ones that it is near to, so only sizes are
+    joined.  An empty new raster is an error.
     """
     size = pixels.groupBy("mask_id").agg((F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
     new = lambda c: (F.col(c) * (resolution / target)).cast("int")
     size = size.withColumn("nh", new("h")).withColumn("nw", new("w"))
     size = size.withColumn("nh", F.when((F.col("nh") > 0) & (F.col("nw") > 0), F.col("nh")).otherwise(F.raise_error(F.lit("the new raster would be empty")).cast("int")))
-    out = size.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("nh") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("nw") - 1)))
-    centre = lambda at, old, now: F.greatest(F.lit(0.0), F.least(F.col(old) - 1.0, (F.col(at) + 0.5) * F.col(old) / F.col(now) - 0.5))
-    out = out.withColumn("fy", centre("r", "h", "nh")).withColumn("fx", centre("c", "w", "nw"))
-    low = lambda f: F.floor(F.col(f)).cast("int")
-    up = lambda f, n: F.least(low(f) + 1, F.col(n) - 1)
-    part = lambda f: F.col(f) - F.floor(f)
-    corners = [(low("fy"), low("fx"), (1 - part("fy")) * (1 - part("fx"))), (low("fy"), up("fx", "w"), (1 - part("fy")) * part("fx")), (up("fy", "h"), low("fx"), part("fy") * (1 - part("fx"))), (up("fy", "h"), up("fx", "w"), part("fy") * part("fx"))]
-    out = out.select("mask_id", "r", "c", F.explode(F.array(*(F.struct(y.alias("row"), x.alias("col"), k.alias("k")) for y, x, k in corners))).alias("s")).filter("s.k > 0")
-    met = out.select("mask_id", "r", "c", "s.row", "s.col", "s.k").join(pixels.select("mask_id", "row", "col", "value"), ["mask_id", "row", "col"])
-    return met.groupBy("mask_id", F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("k") * F.col("value")).alias("value"))
+    p = pixels.select("mask_id", "row", "col", "value").join(size, "mask_id")
+    for at, old, now, to, k in (("row", "h", "nh", "r", "ky"), ("col", "w", "nw", "c", "kx")):
+        p = _near(p, F.col(at), F.col(old), F.col(now), to, k)
+    return p.groupBy("mask_id", F.col("r").alias("row"), F.col("c").alias("col")).agg(F.sum(F.col("ky") * F.col("kx") * F.col("value")).alias("value"))
+
+
+def _near(pixels: DataFrame, at: Column, old: Column, now: Column, to: str, k: str) -> DataFrame:
+    """``pixels`` for each of ``now`` places on an axis (``to``) of which place ``at`` of ``old`` is one of the two nearest, with its part ``k``, above 0."""
+    place = lambda v: (v + 0.5) * now / old - 0.5
+    first = F.when(at == 0, 0).otherwise(F.greatest(F.lit(0), F.floor(place(at - 1)).cast("int")))
+    last = F.when(at == old - 1, now - 1).otherwise(F.least(now - 1, F.ceil(place(at + 1)).cast("int")))
+    p = pixels.withColumn(to, F.explode(F.when(first <= last, F.sequence(first, last))))
+    f = F.greatest(F.lit(0.0), F.least(old - 1.0, (F.col(to) + 0.5) * old / now - 0.5))
+    part = f - F.floor(f)
+    return p.withColumn(k, F.when(at == F.floor(f), 1 - part).when(at == F.floor(f) + 1, part).otherwise(0.0)).filter(F.col(k) > 0)
 
 
 def with_shifts(sections: DataFrame) -> DataFrame:

@@ -187,3 +187,25 @@ def test_rasterize_takes_time_by_rows_not_cells(spark):
     df = spark.createDataFrame([(1, [(0.0, 0.0), (side, 0.0), (side, side), (0.0, side)])], "id long, ring array<struct<x:double,y:double>>")
     got = raster.ring_runs(df).selectExpr("count(*) as rows", "sum(cast(stop - start as long)) as n", "max(row) as r", "min(start) as c").first()
     assert tuple(got) == (200_000, 40_000_000_000, 199_999, 0)
+
+
+def test_resampling_joins_sizes_and_no_pixels(spark):
+    """A broadcast of exploded pixels would go through the driver, as explode isn't in Spark's estimate of sizes."""
+    from lanewright.operators import regions
+
+    px = spark.range(3).selectExpr("id as mask_id", "explode(sequence(0, 34)) as i").selectExpr("mask_id", "i div 7 as row", "i % 7 as col", "cast(i * i as double) as value").selectExpr("mask_id", "cast(row as int) as row", "cast(col as int) as col", "value")
+    for resolution, target in ((0.8, 1.1), (1.0, 1.0), (1.0, 0.3), (1.0, 2.6)):
+        out = regions.resample_bilinear(px, resolution, target)
+        h, w = int(5 * resolution / target), int(7 * resolution / target)
+        want = {}
+        for r in range(h):
+            for c in range(w):
+                y, x = min(4, max(0, (r + 0.5) * 5 / h - 0.5)), min(6, max(0, (c + 0.5) * 7 / w - 0.5))
+                want[r, c] = sum(max(0, 1 - abs(y - i // 7)) * max(0, 1 - abs(x - i % 7)) * i * i for i in range(35))
+        got = out.collect()
+        assert len(got) == 3 * h * w
+        assert all(g.value == pytest.approx(want[g.row, g.col], abs=1e-9) for g in got)
+        joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+        assert len(joins) == 1 and "col" not in joins[0] and "mask_id" in joins[0]
+    with pytest.raises(Exception, match="would be empty"):
+        regions.resample_bilinear(px, 1.0, 9.0).collect()
