@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -107,8 +109,20 @@ def fit_lines(points: DataFrame) -> DataFrame:
     return p.groupBy("line_id").agg(F.regr_slope("r.y", "r.x").alias("slope"), F.regr_intercept("r.y", "r.x").alias("intercept"), F.max(F.hypot(F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y"))).alias("length"))
 
 
+def _far(px: float, py: float, dx: float, dy: float) -> float:
+    """Distance of a place to the segment from the origin to (dx, dy), rounded as the SQL does: its squares are calls of pow."""
+    d2 = math.pow(dx, 2) + math.pow(dy, 2)
+    t = max(0.0, min(1.0, (px * dx + py * dy) / d2)) if d2 else 0.0
+    return math.sqrt(math.pow(px - t * dx, 2) + math.pow(py - t * dy, 2))
+
+
 def douglas_peucker(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Which vertices stay; without recursion."""
+    """Which vertices stay; without recursion.  Of several farthest ones the first goes on.
+
+    Distances that rounding can't tell apart, from each other or from the
+    tolerance, are computed again by ``_far``.  Vertices without a coordinate are
+    passed over, and a stretch with such an end is not cut.
+    """
     keep = np.zeros(len(x), bool)
     if len(x):
         keep[[0, -1]] = True
@@ -122,8 +136,18 @@ def douglas_peucker(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarra
         px, py = x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]
         t = np.clip((px * dx + py * dy) / d2, 0, 1) if d2 else np.zeros(len(px))
         far = np.hypot(px - t * dx, py - t * dy)
+        far[np.isnan(far)] = -1.0
         k = int(far.argmax())
-        if far[k] > tolerance:
+        most = far[k]
+        if most < 0:
+            continue
+        slack = 1e-12 * (abs(dx) + abs(dy) + np.nanmax(np.abs(px)) + np.nanmax(np.abs(py)))
+        near = np.flatnonzero(far >= most - slack)
+        if len(near) > 1 or abs(most - tolerance) <= slack:
+            exact = [_far(float(px[i]), float(py[i]), float(dx), float(dy)) for i in near]
+            most = max(exact)
+            k = int(near[exact.index(most)])
+        if most > tolerance:
             keep[a + 1 + k] = True
             todo += [(a, a + 1 + k), (a + 1 + k, b)]
     return keep

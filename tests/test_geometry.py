@@ -209,3 +209,15 @@ def test_resampling_joins_sizes_and_no_pixels(spark):
         assert len(joins) == 1 and "col" not in joins[0] and "mask_id" in joins[0]
     with pytest.raises(Exception, match="would be empty"):
         regions.resample_bilinear(px, 1.0, 9.0).collect()
+
+
+def test_simplified_goes_with_its_sql_where_two_vertices_are_equally_far(spark, tmp_path):
+    import duckdb
+    from compare import same
+
+    far = [(289.9, 398.34, 399.19, 292.45), (108.48, 242.3, 242.84, 110.1), (71.63, 118.16, 116.31, 66.08), (43.63, 92.06, 93.4, 47.65), (127.75, 210.01, 210.06, 127.9), (278.1, 353.38, 353.3, 277.86), (8.05, 52.0, 51.42, 6.31)]
+    lines = [*far, (0.0, None, 90.0, 5.0, 0.0), (None, 80.0, 0.0), (0.0, 80.0, 80.0, 80.0, 0.0)]
+    rows = ", ".join(f"({10 * u + i}, TIMESTAMP '2024-01-01' + INTERVAL ({i}) SECOND, {u}, {'NULL' if y is None else y}::DOUBLE)" for u, line in enumerate(lines) for i, y in enumerate(line))
+    duckdb.sql(f"COPY (SELECT e::BIGINT AS event_id, t AS ts, u::BIGINT AS user_id, v AS value FROM (VALUES {rows}) r(e, t, u, v)) TO '{tmp_path}/events.parquet'")
+    query, sql = geometry_queries.QUERIES["simplified"]
+    same(query(spark, str(tmp_path)), sql, str(tmp_path))
